@@ -1,7 +1,10 @@
-"""Exact token ids by the tokenizers library, with the ids of frequent word pieces kept.
+"""Exact token ids by the tokenizers library, with the ids of words kept.
 
-Byte-level BPE encodes each piece of the pre-tokenizer on its own, so a text's ids are its pieces' ids in a
-row. Texts of plain Latin characters are split here; any other text goes to the library as a whole.
+A byte-level BPE vocabulary with the usual pre-tokenizer never lets a piece run on past a letter, digit or
+sign into a following space, so a text's ids are those of its words, each with the space before it, in a row.
+The exceptions are a space between two other white spaces, and white space other than tab, line ends and the
+plain space; such a text goes to the library as a whole. The words of many texts are found, hashed (64 bits
+and their length) and looked up at once; the library encodes each word that isn't known yet.
 """
 
 from __future__ import annotations
@@ -12,12 +15,77 @@ import re
 
 import numpy as np
 
+_RARE_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]").search
+#: Bytes that a rare white space has.
+_SUSPECT = np.zeros(256, dtype=bool)
+_SUSPECT[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[9, 10, 13, 32]] = True
+#: Words whose ids a Python worker keeps, and the longest in bytes; further ones are encoded each time.
+KEPT_WORDS, KEPT_BYTES = 1_000_000, 64
+SLOTS = 1 << 22
+CHUNK = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F)]
+
+
 _LETTER, _NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼½¾"
-#: Characters for which the classes above agree with the Unicode classes of the pre-tokenizer.
-_OTHER = re.compile(r"[^\t\n\r -~¡-ɏ–—‘’“”…€•]")
+#: The pre-tokenizer's pattern for words of the characters for which these classes agree with its Unicode ones.
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+").findall
-#: Pieces whose ids a Python worker keeps; further ones are encoded each time.
-KEPT_PIECES = 1_000_000
+_OTHER = re.compile(r"[^\t\n\r -~¡-ɏ–—‘’“”…€•]").search
+_LETTERS = re.compile(rf" [{_LETTER}]+").fullmatch
+#: Pieces of words whose ids are kept too, and pieces that are encoded as one text.
+KEPT_PIECES, TOGETHER = 300_000, 128
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class Words:
+    """A hash table from word keys to runs of ids, filled and asked for many keys at once."""
+
+    def __init__(self):
+        self.keys, self.row = np.zeros(SLOTS, dtype=np.uint64), np.zeros(SLOTS, dtype=np.int32)
+        self.start, self.count = np.zeros(KEPT_WORDS, dtype=np.int64), np.zeros(KEPT_WORDS, dtype=np.int64)
+        self.ids, self.rows, self.used = np.zeros(1 << 20, dtype=np.uint32), 0, 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Row of each key, or -1."""
+        slot = (keys >> np.uint64(42)).astype(np.int64)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.row[slot], -1)
+        rest = np.nonzero((there != keys) & (there != 0))[0]
+        while len(rest):
+            slot[rest] = slot[rest] + 1 & SLOTS - 1
+            there = self.keys[slot[rest]]
+            hit = there == keys[rest]
+            out[rest[hit]] = self.row[slot[rest[hit]]]
+            rest = rest[~hit & (there != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, runs: list[bytes]) -> None:
+        """New, distinct keys, as many as there is room for."""
+        n = min(len(keys), KEPT_WORDS - self.rows)
+        if n <= 0:
+            return
+        keys, size = keys[:n], np.array([len(x) // 4 for x in runs[:n]], dtype=np.int64)
+        own, total = np.arange(self.rows, self.rows + n), int(size.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), total), dtype=np.uint32)])
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(runs[:n]), dtype="<u4")
+        self.start[own], self.count[own] = self.used + np.cumsum(size) - size, size
+        self.rows, self.used = self.rows + n, self.used + total
+        slot, rest = (keys >> np.uint64(42)).astype(np.int64), np.arange(n)
+        while len(rest):
+            free = self.keys[slot[rest]] == 0
+            self.keys[slot[rest[free]]] = keys[rest[free]]
+            done = free & (self.keys[slot[rest]] == keys[rest])
+            self.row[slot[rest[done]]] = own[rest[done]]
+            rest = rest[~done]
+            slot[rest] = slot[rest] + 1 & SLOTS - 1
 
 
 class Encoder:
@@ -30,40 +98,123 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        self.by_piece = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE"
-        self.kept: dict[str, bytes] = {}
+        self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE"
+        if self.by_word:
+            self.known = Words()
+            self.lut = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            self.power, self.back = _powers(_BASE, CHUNK + 1), _powers(pow(_BASE, -1, 1 << 64), CHUNK + 1)
+
+            self.pieces: dict[str, bytes] = {}
+            self.size = np.zeros(self.tokenizer.get_vocab_size(), dtype=np.int64)  # bytes of a token: a character of its name each
+            for name, k in spec["model"]["vocab"].items():
+                self.size[k] = len(name)
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces. Those of a space and letters stay pieces when they are put in a row, and are told apart by their bytes."""
+        plain = [p for p in pieces if _LETTERS(p)]
+        other = [p for p in pieces if not _LETTERS(p)]
+        out = dict(zip(other, self._library(other)))
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for group, data in zip(groups, self._library(["".join(g) for g in groups])):
+            ends = np.cumsum(self.size[np.frombuffer(data, dtype="<u4")])
+            cuts, at = (4 * (np.searchsorted(ends, np.cumsum([len(p.encode()) for p in group])) + 1)).tolist(), 0
+            for p, cut in zip(group, cuts):
+                out[p] = data[at:cut]
+                at = cut
+        return out
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        split = [None if _OTHER(w) else _PIECES(w) for w in words]
+        known = self.pieces
+        new = self._encode_pieces(list(dict.fromkeys([p for own in split if own for p in own if p not in known])))
+        whole = iter(self._library([w for w, own in zip(words, split) if own is None]))
+        out = [next(whole) if own is None else b"".join([new[p] if p in new else known[p] for p in own]) for own in split]
+        free = KEPT_PIECES - len(known)
+        if free > 0:
+            known.update(list(new.items())[:free])
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list = [None] * len(texts)
-        whole, split, missing = [], [], {}
-        get = self.kept.get
-        for i, text in enumerate(texts):
-            if not self.by_piece or _OTHER.search(text):
+        out: list = [b""] * len(texts)
+        raw = [t.encode() for t in texts]
+        own, size, whole = [], 0, []
+        for i, b in enumerate(raw):
+            if not self.by_word or len(b) > CHUNK:
                 whole.append(i)
-                continue
-            pieces = _PIECES(text)
-            ids = list(map(get, pieces))
-            if None in ids:
-                missing.update((p, None) for p, x in zip(pieces, ids) if x is None)
-                split.append((i, pieces))
-            else:
-                out[i] = b"".join(ids)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
+            elif b:
+                if size + len(b) > CHUNK:
+                    whole += self._by_words(own, texts, raw, out)
+                    own, size = [], 0
+                own.append(i)
+                size += len(b)
+        if own:
+            whole += self._by_words(own, texts, raw, out)
+        for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
-        if missing:
-            names = list(missing)
-            missing = dict(zip(names, self._encode(names)))
-            free = KEPT_PIECES - len(self.kept)
-            if free > 0:
-                self.kept.update(missing if free >= len(missing) else dict(zip(names[:free], map(missing.get, names[:free]))))
-            for i, pieces in split:
-                out[i] = b"".join([get(p) or missing[p] for p in pieces])
         return out
 
+    def _by_words(self, own: list[int], texts: list[str], raw: list[bytes], out: list) -> list[int]:
+        """Fill out for the texts `own`, which fit a chunk; returns those that have to be encoded as a whole."""
+        data = np.frombuffer(b"".join([raw[i] for i in own]), dtype=np.uint8)
+        n = len(data)
+        ends = np.cumsum([len(raw[i]) for i in own])
+        starts = ends - [len(raw[i]) for i in own]
+        space, blank = data == 32, _BLANK[data]
+        inner = space.copy()
+        inner[1:] &= blank[:-1]
+        inner[:-1] &= blank[1:]
+        inner[starts] = inner[ends - 1] = False
+        odd = np.zeros(len(own), dtype=bool)
+        odd[np.searchsorted(ends, np.nonzero(inner)[0], side="right")] = True
+        for k in np.unique(np.searchsorted(ends, np.nonzero(_SUSPECT[data])[0], side="right")):
+            odd[k] = odd[k] or _RARE_SPACE(texts[own[k]]) is not None
+        space[starts] = True
+        begin = np.nonzero(space)[0]
+        end = np.append(begin[1:], n)
+        total = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(self.lut[data] * self.power[:n], out=total[1:])
+        key = (total[end] - total[begin]) * self.back[begin]
+        key ^= (end - begin).astype(np.uint64) * _MIX[2]
+        key = (key ^ key >> np.uint64(31)) * _MIX[0]
+        key = (key ^ key >> np.uint64(29)) * _MIX[1] | np.uint64(1)
+        row = self.known.find(key)
+        missing = np.nonzero(row < 0)[0]
+        more: dict[int, bytes] = {}
+        if len(missing):
+            names, at, back = np.unique(key[missing], return_index=True, return_inverse=True)
+            at = missing[at]
+            joined = data.tobytes()
+            try:
+                words = [joined[a:b].decode() for a, b in zip(begin[at].tolist(), end[at].tolist())]
+            except UnicodeDecodeError:  # can't be: a word begins at a space or a text
+                raise ValueError("a word isn't UTF-8") from None
+            runs = self._encode_words(words)
+            keep = np.nonzero(end[at] - begin[at] <= KEPT_BYTES)[0]
+            self.known.add(names[keep], [runs[k] for k in keep])
+            row[missing] = self.known.find(key[missing])
+            more = {int(m): runs[k] for m, k in zip(missing, back) if row[m] < 0}
+        known = row >= 0
+        count = np.where(known, self.known.count[row], 0)
+        for m, ids in more.items():
+            count[m] = len(ids) // 4
+        place = np.cumsum(count) - count
+        ids = np.empty(int(count.sum()), dtype="<u4")
+        source = np.repeat(np.where(known, self.known.start[row], 0) - place, count) + np.arange(len(ids))
+        if more:
+            source[np.repeat(~known, count)] = 0
+        ids[:] = self.known.ids[source]
+        for m, run in more.items():
+            ids[place[m] : place[m] + len(run) // 4] = np.frombuffer(run, dtype="<u4")
+        cuts = (4 * np.append(place, len(ids))[np.searchsorted(begin, np.append(starts, n))]).tolist()
+        flat = ids.tobytes()
+        for k, i in enumerate(own):
+            out[i] = flat[cuts[k] : cuts[k + 1]]
+        return [own[k] for k in np.nonzero(odd)[0]]
+
 
 _encoders: dict[str, Encoder] = {}
 
