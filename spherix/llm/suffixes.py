@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,14 +128,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return common.text_rows(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the shuffle."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        yield _rows("doc text", batch.column(0), pa.array([press.compress(t) for t in common.text_bytes(batch.column(1))], pa.binary()))
+
+
+def _unpacked(column: pa.Array) -> list[bytes]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [open_(x) for x in column.to_pylist()]
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, texts = batch.column(0).to_numpy(), common.text_bytes(batch.column(1))
         for lo, hi in _chunks(texts):
             own = Layout(texts[lo:hi])
             own.anchors()
-            if len(own.place):
-                yield _rows("h c doc", own.hash, own.context, doc[lo:hi][own.text])
+            # a text that repeats an anchor with all around it needs one row of it
+            key = _finish(own.hash.view(np.uint64) ^ own.context.view(np.uint64) * _M[2] ^ own.text.astype(np.uint64) * _M[1])
+            _, once = np.unique(key, return_index=True)
+            if len(once):
+                yield _rows("h c doc", own.hash[once], own.context[once], doc[lo:hi][own.text[once]])
 
 
 def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +190,7 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads (doc, text, asked: [(c, h)]); gives (h, c, doc, left, right, bytes) of the asked anchors."""
     for batch in batches:
-        doc, texts, asked = batch.column(0).to_numpy(), common.text_bytes(batch.column(1)), batch.column(2)
+        doc, texts, asked = batch.column(0).to_numpy(), _unpacked(batch.column(1)), batch.column(2)
         offsets, values = asked.offsets.to_numpy(), asked.values
         c, h = values.field(0).to_numpy(), values.field(1).to_numpy()
         for lo, hi in _chunks(texts):
@@ -231,7 +247,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads (doc, text, found: [(c, mask)]); gives the kept bytes."""
     for batch in batches:
-        doc, texts = batch.column(0).to_pylist(), common.text_bytes(batch.column(1))
+        doc, texts = batch.column(0).to_pylist(), _unpacked(batch.column(1))
         found = batch.column(2)
         offsets, values = found.offsets.to_numpy(), found.values
         c, mask = values.field(0).to_numpy(), values.field(1).to_numpy()
@@ -270,18 +286,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     keyed = _keyed(docs)
+    packed = keyed.mapInArrow(_packed, "doc long, text binary")
     anchors = keyed.mapInArrow(_anchor_rows, "h long, c long, doc long")
     classes = anchors.repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(_classes, "doc long, c long, h long, ask int")
     classes = common.written(classes, "classes")
     common.release(spark)
     asked = classes.where("ask = 1").groupBy("doc").agg(F.collect_set(F.struct("c", "h")).alias("asked"))
-    contexts = keyed.join(asked, "doc").mapInArrow(_contexts, "h long, c long, doc long, l long, r long, bytes binary")
+    contexts = packed.join(asked, "doc").mapInArrow(_contexts, "h long, c long, doc long, l long, r long, bytes binary")
     masks = contexts.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_windows, "doc long, c long, mask long")
     masks = common.written(masks, "masks")
     common.release(spark)
     answers = classes.where("ask = 0").select("doc", "c", F.lit(EVERY).cast("long").alias("mask")).union(masks)
     answers = answers.groupBy("doc").agg(F.collect_list(F.struct("c", "mask")).alias("found"))
-    both = keyed.join(answers, "doc", "left").select("doc", "text", F.coalesce("found", F.array().cast("array<struct<c:bigint,mask:bigint>>")).alias("found"))
+    both = packed.join(answers, "doc", "left").select("doc", "text", F.coalesce("found", F.array().cast("array<struct<c:bigint,mask:bigint>>")).alias("found"))
     return both.mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
