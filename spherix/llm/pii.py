@@ -129,7 +129,10 @@ def disclosing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     """
     n_docs = docs.count()
     pairs = contexts.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"], t["term"])))).alias("p")).select("p.*")
-    both = common.written(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_DOCUMENTS), "pairs")
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_DOCUMENTS)
+    # a term stands in at least the documents in which it is beside any entity, which rules out all common words
+    beside = contexts.select(F.explode(F.array_distinct(F.transform("near", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_beside"))
+    both = common.written(both.join(beside, "term").where(F.col("n_both") >= MIN_SHARE * F.col("n_beside")).select("entity", "term", "n_both"), "pairs")
     entities = contexts.select(F.explode(F.array_distinct(F.transform("near", lambda t: t["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = both.select("term").distinct()
     words = common.text_rows(docs).select(F.explode(F.array_distinct(F.split(F.lower("text"), BETWEEN_TERMS))).alias("term"))
