@@ -77,10 +77,10 @@ class Templates:
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
     """Minimum of x over [i, i + n), by doubling; the last windows are cut short at the end."""
     m, width = x.copy(), 1
-    while 2 * width <= n:
+    while 2 * width <= n and width < len(m):
         m[: len(m) - width] = np.minimum(m[: len(m) - width], m[width:])
         width *= 2
-    rest = n - width
+    rest = min(n - width, width)
     if 0 < rest < len(m):
         m[: len(m) - rest] = np.minimum(m[: len(m) - rest], m[rest:])
     return m
