@@ -42,14 +42,17 @@ def apply(df: DataFrame, layers: Layers) -> DataFrame:
     stage's generated code but isn't folded.
     """
     size: dict[str, int] = {}
+    given = set(df.columns)
     scratch = [n for layer in layers for n in layer if n.startswith("_")]
     for layer in layers:
         own = {n: sum(size.get(w, 1) for w in _WORD.findall(e)) for n, e in layer.items()}
+        # a scratch column may be used anew; it then replaces the one before
+        rest = [f"`{c}`" for c in df.columns if c not in layer] if any(n in size or n in given for n in layer) else ["*"]
         if max(own.values()) > MOST_INLINED:
             own = {}
-            df = df.select("*", F.inline(F.array(F.struct(*[F.expr(doubles(e)).alias(n) for n, e in layer.items()]))))
+            df = df.select(*rest, F.inline(F.array(F.struct(*[F.expr(doubles(e)).alias(n) for n, e in layer.items()]))))
         else:
-            df = df.selectExpr("*", *[f"{doubles(e)} AS {n}" for n, e in layer.items()])
+            df = df.selectExpr(*rest, *[f"{doubles(e)} AS {n}" for n, e in layer.items()])
         for n in layer:
             size[n] = own.get(n, 1)
     return df.drop(*scratch)
