@@ -60,8 +60,11 @@ def apply(df: DataFrame, layers: Layers) -> DataFrame:
 
 def to_sql(source: str, layers: Layers, out: list[str] | str) -> str:
     """SELECT out over the layers over source, a table or a query in parentheses."""
+    known: set[str] = set()
     for layer in layers:
-        source = f"(SELECT *, {', '.join(f'{doubles(e)} AS {n}' for n, e in layer.items())} FROM {source} AS t)"
+        anew = f" EXCLUDE ({', '.join(n for n in layer if n in known)})" if known & set(layer) else ""
+        source = f"(SELECT *{anew}, {', '.join(f'{doubles(e)} AS {n}' for n, e in layer.items())} FROM {source} AS t)"
+        known |= set(layer)
     return f"SELECT {out if isinstance(out, str) else ', '.join(out)} FROM {source} AS t"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -78,6 +79,18 @@ def threshold_merger(most: float):
     return lambda depth, v: F.when(reduce(lambda x, y: x + y, v) < most, reduce(lambda x, y: x + y, v))
 
 
+def chi2_density_merger(depth_floor: int = 0, threshold: float = CHI2_3DOF):
+    """Four densities become their mean if they agree; a density counts as that of one row a cell at least, in its variance."""
+
+    def merge(depth, v):
+        one = cells.n_hash(depth) / 4 / math.pi
+        total = reduce(lambda x, y: x + y, v)
+        inverse = reduce(lambda x, y: x + y, [F.lit(1.0) / F.greatest(x, F.lit(one)) for x in v])
+        return F.when((total - 16.0 / inverse) / F.lit(one) < threshold, total / 4) if depth > depth_floor else F.lit(None).cast("double")
+
+    return merge
+
+
 def equal_merger():
     return lambda depth, v: F.when((v[0] == v[1]) & (v[1] == v[2]) & (v[2] == v[3]), v[0])
 
@@ -94,8 +107,13 @@ def range_merger(tolerance: float):
 
 def multi_order_map(skymap: DataFrame, depth: int, merger, least: int = 0) -> DataFrame:
     """(order_, ipix, value): complete groups of four siblings merge, bottom up, where the merger gives a value."""
-    alive = skymap.select(F.lit(depth).alias("order_"), "ipix", "value")
-    done = []
+    return merge_siblings(skymap.select(F.lit(depth).alias("order_"), "ipix", "value"), depth, merger, least)
+
+
+def merge_siblings(mom: DataFrame, depth: int, merger, least: int = 0) -> DataFrame:
+    """multi_order_map of a map whose cells, of depth at most, already have different orders."""
+    mixed = mom.select("order_", "ipix", "value")
+    alive, done = mixed.where(F.col("order_") == depth), [mixed.where(F.col("order_") < least)]
     for d in range(depth, least, -1):
         own = alive.withColumn("_p", F.shiftright("ipix", 2))
         four = [F.max(F.when(F.col("ipix").bitwiseAND(F.lit(3)) == k, F.col("value"))) for k in range(4)]
@@ -104,7 +122,7 @@ def multi_order_map(skymap: DataFrame, depth: int, merger, least: int = 0) -> Da
         cells_ = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"_v{k}").alias("v")) for k in range(4)])
         stay = merged.where("_m IS NULL").select("_p", F.explode(cells_).alias("c")).where("c.v IS NOT NULL")
         done.append(stay.select(F.lit(d).alias("order_"), (F.shiftleft("_p", 2) + F.col("c.k")).alias("ipix"), F.col("c.v").alias("value")))
-        alive = merged.where("_m IS NOT NULL").select(F.lit(d - 1).alias("order_"), F.col("_p").alias("ipix"), F.col("_m").alias("value"))
+        alive = merged.where("_m IS NOT NULL").select(F.lit(d - 1).alias("order_"), F.col("_p").alias("ipix"), F.col("_m").alias("value")).unionByName(mixed.where(F.col("order_") == d - 1))
     return reduce(DataFrame.unionByName, [*done, alive])
 
 
@@ -128,6 +146,87 @@ def multiply(left: DataFrame, right: DataFrame, depth: int, factor: float = 1.0)
     return a.unionByName(b).select("order_", "ipix", (F.col("value") * F.col("_v") * F.lit(factor)).alias("value"))
 
 
+def densities(mom: DataFrame) -> DataFrame:
+    """Counts of a multi-order map per steradian."""
+    return mom.select("order_", "ipix", (F.col("value") * F.expr("CAST(12L << CAST(2 * order_ AS INT) AS DOUBLE)") / (F.lit(4.0) * F.pi())).alias("value"))
+
+
+def _coded(df: DataFrame, depth: int) -> DataFrame:
+    """df with _z, the code of each cell."""
+    return df.withColumn("_z", F.expr(f"CASE {' '.join(f'WHEN order_ = {d} THEN {cells.zuniq(str(d), 'ipix')}' for d in range(depth + 1))} END"))
+
+
+def _above(df: DataFrame, depth: int, itself: bool = True) -> DataFrame:
+    """df once for each ancestor of a cell (and itself), with its code _z and order _d."""
+    up = [F.when((F.col("order_") >= d) if itself else (F.col("order_") > d), F.struct(F.lit(d).alias("d"), F.expr(cells.zuniq(str(d), f"ipix >> (2 * (order_ - {d}))")).alias("z"))) for d in range(depth + 1)]
+    return df.withColumn("_a", F.explode(F.array_compact(F.array(*up)))).withColumns({"_d": F.col("_a.d"), "_z": F.col("_a.z")}).drop("_a")
+
+
+def overlapping(df: DataFrame, mom: DataFrame, depth: int) -> DataFrame:
+    """(order_, ipix, m_order, m_ipix, value): cells of df with the map's cells that hold or divide them, by equi joins on codes."""
+    entry = mom.select(F.col("order_"), "ipix", "value")
+    named = lambda m: m.select(F.col("order_").alias("m_order"), F.col("ipix").alias("m_ipix"), "value", "_z")
+    own = df.select("order_", "ipix")
+    holds = _above(own, depth).join(named(_coded(entry, depth)), "_z")
+    divides = _coded(own, depth).join(named(_above(entry, depth, itself=False)), "_z")
+    out = ["order_", "ipix", "m_order", "m_ipix", "value"]
+    return holds.select(*out).unionByName(divides.select(*out))
+
+
+def refine(left: DataFrame, right: DataFrame, depth: int, how: str = "full") -> DataFrame:
+    """(order_, ipix, l, l_order, r, r_order): two multi-order maps on their common refinement, values uncut.
+
+    how is inner, left, right or full. What a side has alone is NULL on the other; a cell that the other map
+    divides leaves the cells beside the paths to its pieces. A caller cuts values by the difference of orders
+    and combines them by a Column; merge_siblings may follow. All joins are on codes of ancestors. Each map is
+    read several times, so it should be a table (sources.tables.held), not a long program.
+    """
+    a, b = (df.select("order_", "ipix", "value") for df in (left, right))
+    parts = [_meet(a, b, depth, "l", "r", True), _meet(b, a, depth, "r", "l", False)]
+    if how in ("left", "full"):
+        parts.append(_alone(a, b, depth, "l", "r"))
+    if how in ("right", "full"):
+        parts.append(_alone(b, a, depth, "r", "l"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _meet(fine: DataFrame, coarse: DataFrame, depth: int, f: str, c: str, equal: bool) -> DataFrame:
+    held = _above(fine, depth, itself=equal).join(_coded(coarse, depth).select("_z", F.col("value").alias(c), F.col("order_").alias(f"{c}_order")), "_z")
+    return held.select("order_", "ipix", F.col("value").alias(f), F.col("order_").alias(f"{f}_order"), c, f"{c}_order")
+
+
+def _alone(own: DataFrame, other: DataFrame, depth: int, mine: str, theirs: str) -> DataFrame:
+    kind = dict(other.dtypes)["value"]
+    out = [F.col("value").alias(mine), F.col("_o").alias(f"{mine}_order"), F.lit(None).cast(kind).alias(theirs), F.lit(None).cast("int").alias(f"{theirs}_order")]
+    below = _above(other, depth, itself=False).select(F.col("order_").alias("_fo"), F.col("ipix").alias("_fi"), "_z")
+    equal = _coded(other, depth).select("_z")
+    held = _above(own, depth).join(equal, "_z", "left_semi").select("order_", "ipix").distinct()
+    free = _coded(own, depth).join(below.select("_z").distinct(), "_z", "left_anti").join(held, ["order_", "ipix"], "left_anti").withColumn("_o", F.col("order_"))
+    divided = _coded(own, depth).withColumnRenamed("order_", "_o").join(below, "_z")
+    steps = divided.select("_o", "value", "_fo", "_fi", F.explode(F.expr("sequence(_o + 1, _fo)")).alias("order_")).withColumn("_at", F.expr("_fi >> CAST(2 * (_fo - order_) AS INT)"))
+    beside = steps.select("_o", "value", "order_", F.explode(F.array(*[F.expr(f"((_at >> 2) << 2) | {k}L") for k in range(4)])).alias("ipix")).distinct()
+    path = steps.select("order_", F.col("_at").alias("ipix")).distinct()
+    rest = beside.join(path, ["order_", "ipix"], "left_anti")
+    return free.select("order_", "ipix", *out).unionByName(rest.select("order_", "ipix", *out))
+
+
+def sampled_index(df: DataFrame, every: int, coarse: int = 3, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """(sample_no, hash29): the key of each every-th row in the order of cells; rows are numbered within coarse cells and raised by the rows before."""
+    own = with_hash(df, cells.MAX_DEPTH, lon, lat, "hash29").where("hash29 IS NOT NULL").select("hash29", F.shiftright("hash29", 2 * (cells.MAX_DEPTH - coarse)).alias("_k"))
+    counts = own.groupBy("_k").agg(F.count("*").alias("_n"))
+    before = counts.select("_k", F.coalesce(F.sum("_n").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    row = F.col("_base") + F.row_number().over(Window.partitionBy("_k").orderBy("hash29")) - 1
+    return own.join(before, "_k").withColumn("_row", row).where(F.col("_row") % every == 0).select(F.expr(f"CAST(_row div {every} AS BIGINT)").alias("sample_no"), "hash29")
+
+
+def order_breaks(df: DataFrame, key: str) -> DataFrame:
+    """One row (breaks): how often key falls from a row to the next, in the order of partitions; 0 if df is sorted."""
+    own = df.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"), F.col(key).alias("_k"))
+    w = Window.partitionBy("_p").orderBy("_i")
+    ends = own.withColumn("_b", F.lag("_k").over(w)).groupBy("_p").agg(F.count_if(F.col("_b") > F.col("_k")).alias("n"), F.min_by("_k", "_i").alias("first"), F.max_by("_k", "_i").alias("last"))
+    return ends.withColumn("_b", F.lag("last").over(Window.orderBy("_p"))).agg((F.coalesce(F.sum("n"), F.lit(0)) + F.count_if(F.col("_b") > F.col("first"))).alias("breaks"))
+
+
 # Coverages: (lo, hi, is_full) at depth 29, half open
 
 
@@ -173,6 +272,30 @@ def combine(left: DataFrame, right: DataFrame | None, op: str) -> DataFrame:
     return union_ranges(swept.withColumn("is_full", flag).where("hi IS NOT NULL AND is_full IS NOT NULL").select("lo", "hi", "is_full"))
 
 
+def to_cells(ranges: DataFrame) -> DataFrame:
+    """(order_, ipix, is_full): the fewest cells that make up each range: at a depth, those inside whose parent isn't."""
+    inside = lambda d: (f"shiftright(lo + {(1 << 2 * (29 - d)) - 1}L, {2 * (29 - d)})", f"shiftright(hi, {2 * (29 - d)})")
+    runs = []
+    for d in range(cells.MAX_DEPTH + 1):
+        a, b = inside(d)
+        pa, pb = inside(d - 1) if d else ("0L", "0L")
+        # up to the first whole parent, and from the last one; all if there is none
+        runs += [f"named_struct('d', {d}, 'a', {a}, 'b', CASE WHEN {pa} < {pb} THEN 4 * {pa} ELSE {b} END)", f"named_struct('d', {d}, 'a', CASE WHEN {pa} < {pb} THEN 4 * {pb} ELSE {b} END, 'b', {b})"]
+    found = ranges.select("is_full", F.explode(F.expr(f"filter(array({', '.join(runs)}), r -> r.a < r.b)")).alias("r"))
+    return found.select(F.col("r.d").alias("order_"), F.explode(F.expr("sequence(r.a, r.b - 1)")).alias("ipix"), "is_full")
+
+
+def degrade_cover(cover: DataFrame, depth: int) -> DataFrame:
+    """A coverage at most depth deep: deeper cells become partial ones at depth."""
+    deep = cover.where(F.col("order_") > depth).select(F.lit(depth).alias("order_"), F.expr(f"ipix >> (2 * (order_ - {depth}))").alias("ipix"), F.lit(False).alias("is_full")).distinct()
+    return cover.where(F.col("order_") <= depth).select("order_", "ipix", "is_full").unionByName(deep)
+
+
+def deep_size(cover: DataFrame, depth: int) -> DataFrame:
+    """(size, deep_size): cells of a coverage, and those of depth that they hold."""
+    return cover.agg(F.count("*").alias("size"), F.coalesce(F.sum(F.expr(f"1L << CAST(2 * ({depth} - order_) AS INT)")), F.lit(0)).alias("deep_size"))
+
+
 def flatten(ranges: DataFrame, depth: int) -> DataFrame:
     by = 2 * (cells.MAX_DEPTH - depth)
     return ranges.select(F.explode(F.sequence(F.shiftright("lo", by), F.shiftright(F.col("hi") - 1, by))).alias("ipix"), "is_full").distinct()

@@ -12,9 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spherix.functions import cells as C
+from spherix.functions import geometry as G
+from spherix.functions import ring as R
 from spherix.operators import coverage as V
 from spherix.operators import maps as M
-from spherix.sources import sky
+from spherix.operators import regions as Q
+from spherix.operators import render as P
+from spherix.sources import sky, tables
 from spherix.streaming import counts
 
 SKY = """(SELECT l_orderkey * 8 + l_linenumber AS id,
@@ -92,10 +96,8 @@ add(
     lambda s, d: source(s, d, CUSTOMERS).alias("a").join(source(s, d, SUPPLIERS).alias("b"), F.expr("a.id % 100 = b.id % 100")).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.round(F.expr(C.doubles(_PAIR)), 9).alias("distance")),
     f"SELECT a.id AS left_id, b.id AS right_id, round({_PAIR}, 9) AS distance FROM {CUSTOMERS} a JOIN {SUPPLIERS} b ON a.id % 100 = b.id % 100",
 )
-#: Rows of the rotation from equatorial (ICRS) to galactic coordinates.
-GALACTIC = ((-0.0548755604162154, -0.8734370902348850, -0.4838350155487132), (0.4941094278755837, -0.4448296299600112, 0.7469822444972189), (-0.8676661490190047, -0.1980763734312015, 0.4559837761750669))
-_XYZ = [{"_x0": "cos(radians(lat)) * cos(radians(lon))", "_x1": "cos(radians(lat)) * sin(radians(lon))", "_x2": "sin(radians(lat))"}, {f"_g{k}": " + ".join(f"({m!r}) * _x{j}" for j, m in enumerate(row)) for k, row in enumerate(GALACTIC)}]
-layered("eq_to_gal", CUSTOMERS, [*_XYZ, {"_gl": "degrees(atan2(_g1, _g0))"}, {"gal_lon": "CASE WHEN _gl < 0 THEN _gl + 360.0 ELSE _gl END", "gal_lat": "degrees(asin(least(greatest(_g2, -1.0), 1.0)))"}], ["id", "round(gal_lon, 7) AS gal_lon", "round(gal_lat, 7) AS gal_lat"])
+layered("eq_to_gal", CUSTOMERS, G.rotated(G.GALACTIC, "lon", "lat", "gal_lon", "gal_lat"), ["id", "round(gal_lon, 7) AS gal_lon", "round(gal_lat, 7) AS gal_lat"])
+layered("gal_to_eq", CUSTOMERS, G.rotated(G.GALACTIC, "lon", "lat", "eq_lon", "eq_lat", back=True), ["id", "round(eq_lon, 7) AS eq_lon", "round(eq_lat, 7) AS eq_lat"])
 
 
 def hashed(depth: int, src: str = SKY) -> str:
@@ -202,3 +204,109 @@ add("xmatch", lambda s, d: M.cross_match(source(s, d, CUSTOMERS), source(s, d, S
 add("sql_hpx_hash", lambda s, d: (sky.register_sql(s), source(s, d, CUSTOMERS).selectExpr("id", "hpx_hash(9, lon, lat) AS ipix", "hpx_nside(9) AS nside"))[1], f"SELECT id, ipix, 512 AS nside FROM {hashed(9, CUSTOMERS)} AS h")
 add("stream_count_map", lambda s, d: counts.run_once(s, f"{d}/events.parquet", 5, EVENTS), f"SELECT * FROM {count_sql(5, EVENTS)} AS c")
 add("fits_skymap", lambda s, d: sky.round_trip(s, sky_counts(s, d, 5), 5), f"SELECT * FROM {count_sql(5)} AS c")
+
+
+# Geometry, RING cells of any nside, regions in text, refinements, images and files
+
+
+def numbered(name: str, depth: int, points: int, layers: C.Layers, out: list[str]) -> None:
+    """A query of layers over each cell of a depth with numbers k below points."""
+    cells_k = f"(SELECT ipix, CAST(k AS BIGINT) AS k FROM {cells_sql(depth)} AS c, (SELECT range AS k FROM range({points})) AS n)"
+    add(name, lambda s, d: C.apply(all_cells(s, depth).select("ipix", F.explode(F.expr(f"sequence(0L, {points - 1}L)")).alias("k")), layers).selectExpr(*map(C.doubles, out)), C.to_sql(cells_k, layers, out))
+
+
+def ringed(name: str, nside: int, layers: C.Layers, out: list[str]) -> None:
+    add(name, lambda s, d: C.apply(s.range(R.n_hash(nside)).select(F.col("id").alias("ring")), layers).selectExpr(*map(C.doubles, out)), C.to_sql(f"(SELECT CAST(range AS BIGINT) AS ring FROM range({R.n_hash(nside)}))", layers, out))
+
+
+layered("ring_hash_any", SKY, R.cell_hash(100), ["id", "ring"])
+ringed("ring_center_any", 12, R.position(12), ["ring", *r9("lon", "lat")])
+ringed("ring_position_any", 12, R.position(12, dx=0.25, dy=0.75), ["ring", *r9("lon", "lat")])
+ringed("ring_plane_any", 12, R.plane(12), ["ring", *r9("px", "py")])
+ringed("ring_vertices_any", 12, R.vertices(12), ["ring", *r9(*[f"{d}_{c}" for d in "senw" for c in ("lon", "lat")])])
+numbered("cell_side_path", 3, 5, G.side_path(3, "E", "N", 4), ["ipix", "k", *r9("lon", "lat")])
+numbered("cell_edge_path", 3, 12, G.edge_path(3, 3), ["ipix", "k", *r9("lon", "lat")])
+numbered("cell_edge_path_clockwise", 3, 12, G.edge_path(3, 3, clockwise=True), ["ipix", "k", *r9("lon", "lat")])
+numbered("cell_grid", 3, 16, G.grid(3, 3), ["ipix", "k", *r9("lon", "lat")])
+layered("projected_vertices", 4, G.projected_vertices(4), ["ipix", *r9(*[f"{d}_{c}" for d in "senw" for c in ("x", "y")])])
+layered("cell_radius", 4, G.cell_radius(4), ["ipix", "round(radius, 6) AS radius"])
+layered("internal_corners", 4, [{f"c_{d.lower()}": e for d, e in G.internal_corners("ipix", 3).items()}], ["ipix", "c_s", "c_e", "c_n", "c_w"])
+layered("internal_side", 4, [{f"e{k}": e for k, e in enumerate(G.internal_side("ipix", 2, "NE"))}], ["ipix", "e0", "e1", "e2", "e3"])
+layered("proj_base_cell", SKY, [*C.project("lon", "lat", "px", "py"), *G.base_cell("px", "py")], ["id", "base"])
+layered("sin_projection", CUSTOMERS, G.sin_project(40.0, 20.0), ["id", *r9("x", "y")])
+layered("sin_round_trip", CUSTOMERS, [*G.sin_project(40.0, 20.0), *G.sin_unproject(40.0, 20.0, lon="slon", lat="slat")], ["id", "round(slon, 6) AS slon", "round(slat, 6) AS slat"])
+layered("best_depth", CUSTOMERS, [{"depth": G.best_depth("(90.0 / (id * id + 1))")}], ["id", "CAST(depth AS INT) AS depth"])
+layered("depth_of_nside", 3, [{"depth": G.depth_of_nside("(ipix + 1)")}], ["ipix", "CAST(depth AS INT) AS depth"])
+add("cell_sizes", lambda s, d: s.range(30).selectExpr("id AS depth", C.doubles(f"round({G.cell_size('id')}, 12) AS size")), f"SELECT range AS depth, round({G.cell_size('range')}, 12) AS size FROM range(30)")
+
+REGION = "Intersection ICRS (Circle 40 20 14 Not (Union (PositionInterval 35 15 42 22 Polygon 44 18 50 18 47 26)))"
+DIFFERENCE = "Difference ICRS (Circle SPHER2 100 -40 12 Ellipse 104 -40 15 5 30)"
+for _name, _text in {"region_filter": REGION, "region_difference": DIFFERENCE}.items():
+    filtered(_name, Q.predicate(_text))
+add("region_cover", lambda s, d: V.to_df(s, Q.cover(REGION, 6)))
+add("within_region", lambda s, d: M.within(M.with_hash(source(s, d, SKY), 29, out="hash29"), V.ranges(Q.cover(REGION, 6)), Q.predicate(REGION)).select("id", "lon", "lat"), f"SELECT id, lon, lat FROM {SKY} AS t WHERE {Q.predicate(REGION)}")
+_POLYGONS = {"a": TRIANGLE, "b": [(30.0, -20.0), (80.0, -20.0), (80.0, 15.0), (30.0, 10.0)], "c": [(200.0, 10.0), (230.0, 10.0), (215.0, 50.0)]}
+add(
+    "polygons_of_positions",
+    lambda s, d: source(s, d, CUSTOMERS).select("id", F.explode(F.array_compact(F.array(*[F.expr(f"CASE WHEN {C.doubles(M.in_polygon(p))} THEN '{n}' END") for n, p in _POLYGONS.items()]))).alias("polygon")),
+    " UNION ALL ".join(f"SELECT id, '{n}' AS polygon FROM {CUSTOMERS} AS t WHERE {M.in_polygon(p)}" for n, p in _POLYGONS.items()),
+)
+
+
+def chi2_mom(s, d):
+    return M.multi_order_map(sky_counts(s, d, 4), 4, M.chi2_count_merger())
+
+
+def threshold_mom(s, d):
+    return M.multi_order_map(sky_counts(s, d, 4, EVENTS), 4, M.threshold_merger(40))
+
+
+_EVENT_COUNTS = count_sql(4, EVENTS)
+_MOM3 = _MOM2.replace(count_sql(4), _EVENT_COUNTS)
+#: Both maps cut to the deepest cells, where a full join is plain; the refinement is compared cut likewise.
+_CUT = lambda m: f"(SELECT (m.ipix << (2 * (4 - m.order_))) + k AS cell, m.value, m.order_ FROM ({m}) AS m, (SELECT range AS k FROM range(256)) AS n WHERE k < (1 << (2 * (4 - m.order_))))"
+add(
+    "mom_refine",
+    lambda s, d: M.refine(tables.held(chi2_mom(s, d)), tables.held(threshold_mom(s, d)), 4).select(F.explode(F.expr("sequence(shiftleft(ipix, 2 * (4 - order_)), shiftleft(ipix + 1, 2 * (4 - order_)) - 1)")).alias("ipix"), "l", "l_order", "r", "r_order"),
+    f"SELECT CAST(coalesce(a.cell, b.cell) AS BIGINT) AS ipix, a.value AS l, CAST(a.order_ AS INT) AS l_order, b.value AS r, CAST(b.order_ AS INT) AS r_order FROM {_CUT(_MOM)} AS a FULL JOIN {_CUT(_MOM3)} AS b ON a.cell = b.cell",
+)
+_HOLDS = "CASE WHEN c.order_ >= m.order_ THEN (c.ipix >> (2 * (c.order_ - m.order_))) = m.ipix ELSE (m.ipix >> (2 * (m.order_ - c.order_))) = c.ipix END"
+add(
+    "mom_overlapping",
+    lambda s, d: M.overlapping(M.with_hash(source(s, d, SUPPLIERS), 3).select(F.lit(3).alias("order_"), "ipix").distinct(), chi2_mom(s, d), 4),
+    f"SELECT c.order_, c.ipix, CAST(m.order_ AS INT) AS m_order, m.ipix AS m_ipix, m.value FROM (SELECT DISTINCT 3 AS order_, ipix FROM {hashed(3, SUPPLIERS)} AS h) AS c JOIN ({_MOM}) AS m ON {_HOLDS}",
+)
+add("mom_densities", lambda s, d: M.densities(chi2_mom(s, d)).select("order_", "ipix", F.round("value", 6).alias("value")), f"SELECT CAST(order_ AS INT) AS order_, ipix, round(value * CAST((CAST(12 AS BIGINT) << (2 * order_)) AS DOUBLE) / (4.0 * pi()), 6) AS value FROM ({_MOM}) AS m")
+
+
+def density_mom_sql(depth: int) -> str:
+    """merge_sql's form with the rule of chi2_density_merger, whose cell area depends on the depth."""
+    counts_ = count_sql(depth)
+    norm = f"{float(C.n_hash(depth))!r} / (4.0 * pi())"
+    ctes, parts = [f"m{depth} AS MATERIALIZED (SELECT ipix, value * {norm} AS value FROM {counts_} AS c)"], []
+    for k in range(depth, 0, -1):
+        one = f"({float(C.n_hash(k) // 4)!r} / pi())"
+        four = ", ".join(f"max(CASE WHEN (ipix & 3) = {j} THEN value END) AS v{j}" for j in range(4))
+        inverse = " + ".join(f"1.0 / greatest(v{j}, {one})" for j in range(4))
+        rule = f"CASE WHEN n = 4 AND (v0 + v1 + v2 + v3 - 16.0 / ({inverse})) / {one} < {M.CHI2_3DOF} THEN (v0 + v1 + v2 + v3) / 4.0 END"
+        ctes.append(f"g{k} AS MATERIALIZED (SELECT p, {rule} AS m FROM (SELECT ipix >> 2 AS p, count(*) AS n, {four} FROM m{k} GROUP BY 1) AS q)")
+        ctes.append(f"m{k - 1} AS MATERIALIZED (SELECT p AS ipix, m AS value FROM g{k} WHERE m IS NOT NULL)")
+        parts.append(f"SELECT {k} AS order_, ipix, round(value, 6) AS value FROM m{k} JOIN g{k} ON ipix >> 2 = p WHERE m IS NULL")
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join([*parts, 'SELECT 0 AS order_, ipix, round(value, 6) AS value FROM m0'])}"
+
+
+add("mom_chi2_density", lambda s, d: M.multi_order_map(M.density(sky_counts(s, d, 4), 4), 4, M.chi2_density_merger()).select("order_", "ipix", F.round("value", 6).alias("value")), density_mom_sql(4))
+_H29 = C.to_sql(SKY, C.cell_hash(29, out="hash29"), ["hash29"])
+add("sampled_index", lambda s, d: M.sampled_index(source(s, d, SKY), 100), f"SELECT CAST(n // 100 AS BIGINT) AS sample_no, hash29 FROM (SELECT hash29, row_number() OVER (ORDER BY hash29) - 1 AS n FROM ({_H29}) AS h WHERE hash29 IS NOT NULL) AS q WHERE n % 100 = 0")
+add("order_breaks", lambda s, d: M.order_breaks(M.sort_by_cell(source(s, d, SKY)), "hash29"), "SELECT 0 AS breaks")
+add("moc_cells", lambda s, d: M.flatten(M.to_ranges(M.to_cells(M.union_ranges(moc(s, d, CUSTOMERS)))), 4).select("ipix"), f"SELECT DISTINCT ipix FROM {_A} AS a")
+add("moc_pack_size", lambda s, d: M.deep_size(M.to_cells(M.union_ranges(moc(s, d, CUSTOMERS))), 4).select("deep_size"), f"SELECT count(*) AS deep_size FROM {_A} AS a")
+add("cover_degrade", lambda s, d: M.degrade_cover(M.with_hash(source(s, d, SUPPLIERS), 4).select(F.lit(4).alias("order_"), "ipix", F.lit(True).alias("is_full")).distinct(), 2), f"SELECT DISTINCT 2 AS order_, ipix >> 4 AS ipix, false AS is_full FROM {_B} AS b")
+for _p in ("mol", "car"):
+    _pix = C.to_sql("(SELECT CAST(range % 64 AS BIGINT) AS px, CAST(range // 64 AS BIGINT) AS py FROM range(2048))", [*P.pixel_layers(64, 32, _p), *C.cell_hash(4)], ["px", "py", "ipix"])
+    add(f"skymap_pixels_{_p}", lambda s, d, p=_p: P.image(P.pixels(s, 64, 32, p), sky_counts(s, d, 4), 4), f"SELECT px, py, value FROM ({_pix}) AS p LEFT JOIN {count_sql(4)} AS c ON p.ipix = c.ipix")
+add("mom_pixels", lambda s, d: P.image(P.pixels(s, 64, 32, "car"), chi2_mom(s, d), 4, multi_order=True), f"SELECT px, py, m.value FROM ({_pix}) AS p LEFT JOIN ({_MOM}) AS m ON (p.ipix >> (2 * (4 - m.order_))) = m.ipix")
+add("mom_file", lambda s, d: tables.round_trip(chi2_mom(s, d), lambda m, p: tables.write_mom(m, p, 4), lambda p: tables.read_mom(s, p, "long")), f"SELECT CAST(order_ AS INT) AS order_, ipix, value FROM ({_MOM}) AS m")
+_RING = V.cover(V.Cone(13.158329, -72.80028, 10.0, 5.64323), 4)
+for _name, _write, _read in (("cover_file", tables.write_cover, tables.read_cover), ("cover_csv", tables.write_cover_csv, tables.read_cover_csv)):
+    add(_name, lambda s, d, w=_write, r=_read: tables.round_trip(V.to_df(s, _RING), lambda c, p: w(c, p, 4), lambda p: r(s, p)), SQL["ring_cover"])

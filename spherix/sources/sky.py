@@ -110,9 +110,14 @@ def read_map(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, f"ipix long, value {kind}")
 
 
-def round_trip(spark: SparkSession, skymap: DataFrame, depth: int) -> DataFrame:
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, or in a temporary one where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sky-')}"
-    path = f"{base.rstrip('/')}/map-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/map-{uuid.uuid4().hex}"
+
+
+def round_trip(spark: SparkSession, skymap: DataFrame, depth: int) -> DataFrame:
+    path = scratch(spark)
     write_map(skymap, path, depth)
     return read_map(spark, path, "long")
 

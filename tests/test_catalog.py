@@ -16,7 +16,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", ["hash_d9", "dens_map", "cumul_index", "zone_filter", "moc_xor", "mom_chi2_count", "mom_mult", "xmatch", "stream_count_map"])
+@pytest.mark.parametrize("name", ["hash_d9", "dens_map", "cumul_index", "zone_filter", "moc_xor", "mom_chi2_count", "mom_mult", "xmatch", "stream_count_map", "ring_hash_any", "mom_refine", "mom_overlapping", "mom_chi2_density", "sampled_index", "within_region", "skymap_pixels_mol", "mom_file"])
 def test_query(spark, db, name):
     got = catalog.QUERIES[name](spark, SF)
     names = ", ".join(got.columns)
