@@ -66,9 +66,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
     grams = common.written(windows(benchmark, window), "windows")
     small = grams.count() <= MAX_BROADCAST
     searches = anchored(docs, grams, small)
-    # the empty word, which no text has, marks the end of each document and carries its length
+    # the empty word, which no text has, marks the end of each document and carries its length; by shuffle it
+    # would be one key for all documents, so their ends are taken apart from the join
     end = spark.range(1).select(F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("n"), F.lit("").alias("first"), F.lit(0).alias("at1"), F.lit("").alias("second"), F.lit(0).alias("at2"))
-    searches = common.written(searches.union(end), "searches")
+    searches = common.written(searches.union(end) if small else searches, "searches")
     own = indexed_words(docs)
     if small:
         rows = own.select("doc_id", "own", F.concat("words", F.array(F.lit(""))).alias("words")).select("doc_id", "own", "words", F.posexplode("words").alias("pos", "first"))
@@ -76,7 +77,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
         searches = F.broadcast(searches)
     else:  # each posting takes the words in reach of a window with it
         reach = window + slop
-        rows = own.select("doc_id", "own", F.concat("words", F.array(F.lit(""))).alias("words")).select("doc_id", "own", "words", F.posexplode("words").alias("pos", "first"))
+        rows = own.select("doc_id", "own", F.posexplode("words").alias("pos", "first"), "words")
         rows = rows.select("doc_id", "own", "pos", "first", F.least("pos", F.lit(reach)).alias("inner"), F.slice("words", F.greatest(F.col("pos") - reach + 1, F.lit(1)), 2 * reach + 1).alias("words"))
         here, place = F.col("words"), F.col("inner")
     at = place - F.col("at1")
@@ -87,7 +88,10 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int
         match = (at >= 0) & (F.get(here, at + F.col("at2")) == F.col("second")) & (F.slice(here, F.greatest(at + 1, F.lit(1)), F.col("n")) == F.col("gram"))
     found = rows.join(searches, "first").where((F.col("n") == 0) | match)
     start = F.when(F.col("n") > 0, F.greatest(F.col("pos") - F.col("at1"), F.lit(0)))
-    return found.select("doc_id", "own", start.alias("start"), "n", "items", F.when(F.col("n") == 0, F.col("pos")).cast("long").alias("n_words"))
+    out = found.select("doc_id", "own", start.alias("start"), "n", "items", F.when(F.col("n") == 0, F.col("pos")).cast("long").alias("n_words"))
+    if small:
+        return out
+    return out.unionByName(own.select("doc_id", "own", F.lit(None).cast("int").alias("start"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("items"), F.size("words").cast("long").alias("n_words")))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
