@@ -7,7 +7,8 @@ is enough to sort the suffixes at anchors (about one byte in sixteen). The passe
 2. Deeper digit, all that any window around the anchor can hold: suffixes equal in it form a class, and all
    but the class's smallest document repeat every window around the anchor.
 3. Groups of several classes: one suffix a class is sorted by each window around the anchor in turn. Equal
-   groups are exactly the repeated windows; the answer is a bit per window.
+   groups are exactly the repeated windows; the answer is a bit per window. Groups of over LARGE classes are
+   split by window, each then a key of its own, whose smallest document is found by an aggregate.
 
 The answers go back to the documents, where the covered bytes are removed. Windows are compared on the input.
 """
@@ -15,6 +16,7 @@ The answers go back to the documents, where the covered bytes are removed. Windo
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,8 @@ PAD = 96
 CHUNK = 2 << 20
 PLACE = np.uint64((1 << 24) - 1)
 NO_ID = 2**63 - 1
+#: Classes of one anchor that may meet in one task (about 150 bytes each), and anchors that may be sent to all executors.
+LARGE, MAX_BROADCAST = 1 << 16, 1 << 20
 EVERY = (1 << (REACH + 1)) - 1
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9)]
@@ -153,9 +157,10 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows("h c doc", own.hash[once], own.context[once], doc[lo:hi][own.text[once]])
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (h, c, doc) in order; gives (doc, c, h, ask): ask 0 repeats all around the anchor, ask 1 is a class to compare."""
+def _classes(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.RecordBatch]:
+    """Reads (h, c, doc) in order; gives (doc, c, h, ask): ask 0 repeats all around the anchor, ask 1 is a class to compare, ask 2 tells that the anchor has over large classes."""
     held, asked = None, False  # the class that the last batch ended in, by its smallest document
+    before = 0  # classes of that anchor up to and with the one held
     for batch in batches:
         h, c, doc = (batch.column(k).to_numpy() for k in range(3))
         if not len(h):
@@ -175,6 +180,13 @@ def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask[:-1] |= ~head[1:]
         group = np.cumsum(new_h) - 1
         starts = np.nonzero(new_h)[0]
+        sizes = np.add.reduceat(new_c.astype(np.int64), starts)
+        sizes[0] += before - 1 if held is not None else 0
+        over = sizes > large
+        over[0] &= before <= large  # said already
+        if over.any():
+            yield _rows("doc c h ask", np.zeros(over.sum(), np.int64), np.zeros(over.sum(), np.int64), h[starts[over]], np.full(over.sum(), 2, np.int32))
+        before = int(sizes[-1])
         alone = np.minimum.reduceat(doc, starts) == np.maximum.reduceat(doc, starts)
         alone[[0, -1]] = False  # may go on before or after this batch
         ask &= ~alone[group[first]]
@@ -207,6 +219,15 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows("h c doc l r bytes", h[a:b][k[there]], own.context[there], doc[lo:hi][own.text[there]], own.left[there], own.right[there], raw)
 
 
+def _window_keys(h: np.ndarray, span: np.ndarray, own: np.ndarray, a: int) -> np.ndarray:
+    """Hashes of the windows from a bytes before the anchor, of the rows own."""
+    key, at = h[own].view(np.uint64) * _M[1], REACH - a
+    for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+        key ^= np.ascontiguousarray(span[own, at + k : at + k + 8]).view("<u8")[:, 0] * _M[k // 8 % 3]
+        key = _finish(key)
+    return key
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads (h, c, doc, l, r, bytes) by h and doc; gives (doc, c, mask): bit a is set if the window from a bytes before the anchor occurs in a smaller document."""
 
@@ -216,11 +237,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.nonzero((left >= a) & (right >= WINDOW - a))[0]
             if len(own) < 2:
                 continue
-            key = h[own].view(np.uint64) * _M[1]
-            at = REACH - a
-            for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
-                key ^= np.ascontiguousarray(span[own, at + k : at + k + 8]).view("<u8")[:, 0] * _M[k // 8 % 3]
-                key = _finish(key)
+            key = _window_keys(h, span, own, a)
             order = np.argsort(key, kind="stable")  # rows come by document, so a run begins with the smallest
             run = np.concatenate([[True], key[order][1:] != key[order][:-1]])
             least = doc[own][order][np.nonzero(run)[0]][np.cumsum(run) - 1]
@@ -244,6 +261,20 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield judge(*held)
 
 
+def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (h, c, doc, l, r, bytes); gives (w, doc, c, bit), a row per window around the anchor, w being a hash of anchor, place and bytes."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, c, doc, left, right = (batch.column(k).to_numpy() for k in range(5))
+        span = np.frombuffer(b"".join(batch.column(5).to_pylist()), dtype=np.uint8).reshape(-1, CONTEXT)
+        for a in range(REACH + 1):
+            own = np.nonzero((left >= a) & (right >= WINDOW - a))[0]
+            if len(own):
+                key = _finish(_window_keys(h, span, own, a) ^ np.uint64(a) * _M[0])
+                yield _rows("w doc c bit", key.view(np.int64), doc[own], c[own], np.full(len(own), 1 << a, np.int64))
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads (doc, text, found: [(c, mask)]); gives the kept bytes."""
     for batch in batches:
@@ -278,7 +309,14 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows("doc_id n_bytes n_removed n_spans kept", pa.array(ids, pa.int64()), np.array([len(t) for t in texts[lo:hi]]), removed, spans, pa.array(kept, pa.binary()))
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def _split_masks(contexts: DataFrame) -> DataFrame:
+    """(doc, c, mask) as _windows gives it, by aggregates, so that no task holds an anchor or a window."""
+    each = common.written(contexts.mapInArrow(_each_window, "w long, doc long, c long, bit long"), "each")
+    least = each.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "least")
+    return each.join(least, "w").where("doc > least").groupBy("doc", "c").agg(F.bit_or("bit").alias("mask"))
+
+
+def remove_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each document without the bytes under a window that a smaller doc_id also has.
 
     A null text is empty; texts shorter than the window stay whole. A row without doc_id comes after all
@@ -288,13 +326,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     packed = keyed.mapInArrow(_packed, "doc long, text binary")
     anchors = keyed.mapInArrow(_anchor_rows, "h long, c long, doc long")
-    classes = anchors.repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(_classes, "doc long, c long, h long, ask int")
+    classes = anchors.repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(partial(_classes, large=large), "doc long, c long, h long, ask int")
     classes = common.written(classes, "classes")
     common.release(spark)
     asked = classes.where("ask = 1").groupBy("doc").agg(F.collect_set(F.struct("c", "h")).alias("asked"))
     contexts = packed.join(asked, "doc").mapInArrow(_contexts, "h long, c long, doc long, l long, r long, bytes binary")
-    masks = contexts.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_windows, "doc long, c long, mask long")
-    masks = common.written(masks, "masks")
+    split = classes.where("ask = 2").select("h").distinct()
+    n_split, masks = split.count(), []
+    if n_split:
+        contexts = common.written(contexts, "contexts")
+        split = F.broadcast(split) if n_split <= MAX_BROADCAST else split
+        masks = [_split_masks(contexts.join(split, "h", "left_semi"))]
+        contexts = contexts.join(split, "h", "left_anti")
+    masks += [contexts.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_windows, "doc long, c long, mask long")]
+    masks = common.written(reduce(DataFrame.union, masks), "masks")
     common.release(spark)
     answers = classes.where("ask = 0").select("doc", "c", F.lit(EVERY).cast("long").alias("mask")).union(masks)
     answers = answers.groupBy("doc").agg(F.collect_list(F.struct("c", "mask")).alias("found"))

@@ -75,7 +75,9 @@ def test_shards(spark, docs, tmp_path):
     assert found == {k: want[k] + bytes(4) for k in (3, 17)}
 
 
-def test_decontamination(spark, docs):
+@pytest.mark.parametrize("most", [decontam.MAX_BROADCAST, 0])
+def test_decontamination(spark, docs, monkeypatch, most):
+    monkeypatch.setattr(decontam, "MAX_BROADCAST", most)
     df, texts, passage = docs
     bench = spark.createDataFrame([(1, passage[20:]), (2, passage), (3, "ab"), (4, None), (5, "never seen words at all in this")], "item_id long, text string")
     cut = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -100,9 +102,11 @@ def test_decontamination(spark, docs):
     assert near >= sum(r.contaminated for r in got.values())
 
 
-def test_suffixes(spark, docs):
-    df, texts, _ = docs
-    first, got = {}, {r.doc_id: r for r in suffixes.remove_repeats(df).collect()}
+@pytest.mark.parametrize("large", [suffixes.LARGE, 2])
+def test_suffixes(spark, docs, large):
+    _, texts, passage = docs
+    texts = [*texts, *[f"{k} {passage[k:150]} {k * k}" for k in range(12)], *[f"{passage[:200]}{k}" for k in range(8)]]
+    first, got = {}, {r.doc_id: r for r in suffixes.remove_repeats(make(spark, texts), large).collect()}
     for i, t in enumerate(texts):
         b, gone = (t or "").encode(), set()
         for s in range(len(b) - 49):
@@ -112,6 +116,18 @@ def test_suffixes(spark, docs):
         assert (got[i].n_removed, got[i].n_spans) == (len(gone), sum(k - 1 not in gone for k in gone))
 
 
+def test_classes_of_large_anchors_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = np.array(sorted({(int(h), int(c), int(d)) for h, c, d in zip(rng.integers(0, 12, 900), rng.integers(0, 60, 900), rng.integers(0, 9, 900))}))
+    classes = Counter(h for h, _ in {(h, c) for h, c, _ in rows.tolist()})
+    for step in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(rows[k : k + step, j].copy()) for j in range(3)], ["h", "c", "doc"]) for k in range(0, len(rows), step)]
+        out = [r for b in suffixes._classes(iter(batches), 35) for r in b.to_pylist()]
+        assert Counter(r["h"] for r in out if r["ask"] == 2) == Counter(h for h, n in classes.items() if n > 35)
+
+
 def test_licenses(spark, docs):
     lines = [x for _, x in licenses.TEMPLATES]
     texts = [f"some words before\n{x}\nand after it" for x in lines] + [None, "", "mit license"]
