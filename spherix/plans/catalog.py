@@ -310,3 +310,4 @@ add("mom_file", lambda s, d: tables.round_trip(chi2_mom(s, d), lambda m, p: tabl
 _RING = V.cover(V.Cone(13.158329, -72.80028, 10.0, 5.64323), 4)
 for _name, _write, _read in (("cover_file", tables.write_cover, tables.read_cover), ("cover_csv", tables.write_cover_csv, tables.read_cover_csv)):
     add(_name, lambda s, d, w=_write, r=_read: tables.round_trip(V.to_df(s, _RING), lambda c, p: w(c, p, 4), lambda p: r(s, p)), SQL["ring_cover"])
+add("fits_implicit", lambda s, d: sky.round_trip(s, sky_counts(s, d, 5), 5, implicit=True), SQL["count_map_dense"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from spherix.functions import cells
-from spherix.operators import coverage
+from spherix.operators import coverage, maps
 
 BLOCK = 2880
 
@@ -40,6 +40,14 @@ def encode_map(depth: int, ipix: np.ndarray, value: np.ndarray) -> bytes:
     return first + table + data.ljust(-(-len(data) // BLOCK) * BLOCK, b"\0")
 
 
+def encode_implicit(depth: int, first: int, value: np.ndarray) -> bytes:
+    """A FITS file with the values of the nested cells from first on; whole sky, or a part that FIRSTPIX and LASTPIX name."""
+    kind = "K" if value.dtype.kind == "i" else "D"
+    data = value.astype(">i8" if kind == "K" else ">f8").tobytes()
+    table = _header([("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", 8), ("NAXIS2", len(value)), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", 1), ("TTYPE1", "VALUE"), ("TFORM1", kind), ("PIXTYPE", "HEALPIX"), ("ORDERING", "NESTED"), ("INDXSCHM", "IMPLICIT"), ("ORDER", depth), ("NSIDE", cells.nside(depth)), ("FIRSTPIX", first), ("LASTPIX", first + len(value) - 1)])
+    return _header([("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True)]) + table + data.ljust(-(-len(data) // BLOCK) * BLOCK, b"\0")
+
+
 def _cards(data: bytes, at: int) -> tuple[dict[str, str], int]:
     out: dict[str, str] = {}
     while True:
@@ -76,12 +84,15 @@ def decode_map(data: bytes) -> tuple[dict[str, str], np.ndarray, np.ndarray]:
     if head.get("INDXSCHM", "IMPLICIT") == "EXPLICIT":
         return head, rows["c0"].ravel().astype(np.int64), rows["c1"].ravel()
     value = rows["c0"].ravel()
-    return head, np.arange(len(value), dtype=np.int64), value
+    first = int(head.get("FIRSTPIX", 0))
+    return head, np.arange(first, first + len(value), dtype=np.int64), value
 
 
-def write_map(skymap: DataFrame, path: str, depth: int) -> None:
+def write_map(skymap: DataFrame, path: str, depth: int, implicit: bool = False) -> None:
     """skymap (ipix, value) as FITS part files, each a table of a range of cells, by Spark's own writer.
 
+    With implicit, values alone, for every cell; a cell that the map lacks is 0.
+
     The text writer ends a row with a line end; a file has one row, and readers of FITS pass over what
     follows the last block.
     """
@@ -91,8 +102,11 @@ def write_map(skymap: DataFrame, path: str, depth: int) -> None:
         rows = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
         if rows:
             ipix, value = (np.concatenate(x) for x in zip(*rows))
-            yield pa.RecordBatch.from_arrays([pa.array([encode_map(depth, ipix, value)], pa.binary())], ["value"])
+            data = encode_implicit(depth, int(ipix[0]), value) if implicit else encode_map(depth, ipix, value)
+            yield pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["value"])
 
+    if implicit:
+        skymap = maps.dense(skymap, depth)
     value = F.col("value").cast("long" if integer else "double")
     sorted_ = skymap.select("ipix", value.alias("value")).repartitionByRange("ipix").sortWithinPartitions("ipix")
     sorted_.mapInArrow(encode, "value binary").select(F.expr("CAST(value AS STRING)").alias("value")).write.option("compression", "none").text(path)
@@ -116,9 +130,9 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/map-{uuid.uuid4().hex}"
 
 
-def round_trip(spark: SparkSession, skymap: DataFrame, depth: int) -> DataFrame:
+def round_trip(spark: SparkSession, skymap: DataFrame, depth: int, implicit: bool = False) -> DataFrame:
     path = scratch(spark)
-    write_map(skymap, path, depth)
+    write_map(skymap, path, depth, implicit)
     return read_map(spark, path, "long")
 
 

@@ -80,3 +80,5 @@ def test_sets_of_ranges(spark):
 def test_map_file(spark):
     rows = spark.createDataFrame([(0, 5), (7, 9), (47, 1)], "ipix long, value long")
     assert sorted(map(tuple, sky.round_trip(spark, rows, 1).collect())) == [(0, 5), (7, 9), (47, 1)]
+    whole = sky.round_trip(spark, rows, 1, implicit=True).toPandas().sort_values("ipix")
+    assert list(whole["ipix"]) == list(range(48)) and whole["value"].sum() == 15 and list(whole["value"][whole["ipix"].isin([0, 7, 47])]) == [5, 9, 1]
