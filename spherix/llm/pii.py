@@ -2,15 +2,16 @@
 
 Base spans are found by regular expressions that run in linear time and without recursion: separators inside
 a number or a domain are first replaced, character for character, by a mark, which leaves runs of a single
-character class to match. Each value found is a protected entity. Terms near an entity are held against the
-whole corpus: from how many documents a term occurs in at all, and in how many of them beside the entity,
-follow the information that the term gives away and the chance that it points to the entity. Terms above both
-thresholds are spans of kind `term`, to be generalised like the entity itself.
+character class to match. Each value found is a protected entity. All terms of the documents that hold an entity are held
+against the whole corpus: from how many documents a term occurs in at all, and how many of them hold the
+entity, follow the chance that it points to the entity, smoothed by the entity's share of all documents, and
+the information that it gives away. Terms above both thresholds are spans of kind `term` wherever they stand in
+a document with the entity, to be generalised like the entity itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spherix.llm import common
@@ -25,13 +26,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BYTE = r"0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Code points on either side of an entity in which terms count as beside it.
-REACH = 60
 TERM = r"[\p{L}\p{N}]{3,}"
-BETWEEN_TERMS = r"[^\p{L}\p{N}]+"
-#: A term is disclosing if it stands beside the entity in at least MIN_DOCUMENTS documents, in MIN_SHARE of all
-#: documents that have the term, and tells at least MIN_BITS about the entity.
-MIN_DOCUMENTS, MIN_SHARE, MIN_BITS = 3, 0.5, 4.0
+#: A term is disclosing if the chance of the entity in a document with the term is at least MIN_SHARE, and at least
+#: MIN_BITS higher than in any document. To a term's documents SMOOTH more are added, which hold the entity as often as any.
+SMOOTH, MIN_SHARE, MIN_BITS = 1.0, 0.5, 4.0
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -80,10 +78,6 @@ def _filtered(kind: str, found: Column) -> Column:
     return F.filter(found, lambda x: valid(kind, x["value"]))
 
 
-def _shifted(terms: Column, s: Column, by: Column) -> Column:
-    return F.transform(terms, lambda t: F.struct(s["value"].alias("entity"), F.lower(t["value"]).alias("term"), (t["start"] + by).alias("start"), (t["end"] + by).alias("end")))
-
-
 def _valued(kind: str) -> Column:
     return F.transform(kind, lambda s: F.struct(s["start"], s["end"], F.concat(F.lit(f"{kind}:"), s["value"]).alias("value")))
 
@@ -101,66 +95,64 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return texts.select("doc_id", "own", "text", *[c.alias(k) for k, c in found.items()])
 
 
-def _beside(spans: Column) -> Column:
-    """Per entity the terms within REACH, as (entity, term, start, end); terms cut by the border or inside a span are left out."""
-    every = lambda s: F.struct(s["start"], s["end"])
-    taken = F.transform(spans, every)
+def _all_base() -> Column:
+    return F.concat(*[_valued(k) for k in KINDS])
 
-    def of(s):
-        left_at = F.greatest(s["start"] - REACH, F.lit(0))
-        left = F.substring(F.col("text"), left_at + 1, s["start"] - left_at)
-        right = F.substring(F.col("text"), s["end"] + 1, F.lit(REACH))
-        own_left = F.filter(matches(left, TERM), lambda t: (t["start"] > 0) | (left_at == 0))
-        own_right = F.filter(matches(right, TERM), lambda t: (t["end"] < REACH) | (F.length("text") <= s["end"] + REACH))
-        moved = F.concat(_shifted(own_left, s, left_at), _shifted(own_right, s, s["end"]))
-        return F.filter(moved, lambda t: ~F.exists(taken, lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
 
-    return F.flatten(F.transform(spans, of))
+def _terms(text: str) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
-def _all_base() -> Column:
-    return F.concat(*[_valued(k) for k in KINDS])
+def _placed(contexts: DataFrame) -> DataFrame:
+    """(row, term, start, end): every term of every text, in code points."""
+    pairs = F.zip_with(F.split("text", TERM, -1), F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    each = contexts.select("row", F.posexplode(pairs).alias("k", "p")).select("row", "k", "p.gap", "p.hit").where("hit IS NOT NULL")
+    end = F.sum(F.col("gap") + F.length("hit")).over(Window.partitionBy("row").orderBy("k")).cast("int")
+    return each.select("row", F.lower("hit").alias("term"), (end - F.length("hit")).alias("start"), end.alias("end"))
 
 
 def disclosing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(entity, term, n_both, n_term, n_entity, bits): the terms that reveal an entity, by counts over all documents.
+    """(entity, term, n_both, n_term, n_entity, share, bits): the terms that reveal an entity, by counts over all documents.
 
-    contexts has one row per document with near, its (entity, term, ..) rows; a pair counts once a document.
+    contexts has (row, text, entities) of each document with an entity.
     """
-    n_docs = docs.count()
-    pairs = contexts.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"], t["term"])))).alias("p")).select("p.*")
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= MIN_DOCUMENTS)
-    # a term stands in at least the documents in which it is beside any entity, which rules out all common words
-    beside = contexts.select(F.explode(F.array_distinct(F.transform("near", lambda t: t["term"]))).alias("term")).groupBy("term").agg(F.count("*").alias("n_beside"))
-    both = common.written(both.join(beside, "term").where(F.col("n_both") >= MIN_SHARE * F.col("n_beside")).select("entity", "term", "n_both"), "pairs")
-    entities = contexts.select(F.explode(F.array_distinct(F.transform("near", lambda t: t["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = both.select("term").distinct()
-    words = common.text_rows(docs).select(F.explode(F.array_distinct(F.split(F.lower("text"), BETWEEN_TERMS))).alias("term"))
-    counts = words.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    out = both.join(common.written(counts, "terms"), "term").join(entities, "entity")
-    bits = F.log2(F.col("n_both") * F.lit(float(max(n_docs, 1))) / (F.col("n_entity") * F.col("n_term")))
-    return out.withColumn("bits", bits).where((F.col("n_both") >= MIN_SHARE * F.col("n_term")) & (F.col("bits") >= MIN_BITS))
+    n_docs = float(max(docs.count(), 1))
+    has = contexts.select("row", F.explode(_terms("text")).alias("term"))
+    holds = contexts.select("row", F.explode("entities").alias("entity"))
+    beside = has.groupBy("term").agg(F.count("*").alias("n_beside"))
+    counts = common.text_rows(docs).select(F.explode(_terms("text")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    # no entity is in more of a term's documents than any entity is, which rules out all common words
+    likely = F.col("n_beside") + SMOOTH >= MIN_SHARE * (F.col("n_term") + SMOOTH)
+    maybe = common.written(beside.join(counts, "term").where(likely).select("term", "n_term"), "terms")
+    both = has.join(maybe, "term").join(holds, "row").groupBy("entity", "term", "n_term").agg(F.count("*").alias("n_both"))
+    out = both.join(holds.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity")
+    prior = F.col("n_entity") / F.lit(n_docs)
+    out = out.withColumn("share", (F.col("n_both") + SMOOTH * prior) / (F.col("n_term") + SMOOTH))
+    return out.withColumn("bits", F.log2(F.col("share") / prior)).where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS))
 
 
 def spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, own, n_email, n_ip, n_card, n_phone, base, spans) for every distinct (doc_id, text).
+    """(doc_id, own, n_email, n_ip, n_card, n_phone, base, spans), a row per row of docs.
 
     base and spans are arrays of (kind, start, end): base holds the four patterns' spans by kind and start,
-    spans those and the disclosing terms'. A null text has none. own is a hash of the text.
+    spans those and the disclosing terms' outside of them. A null text has none. own is a hash of the text.
     """
     found = base_spans(docs)
     named = lambda k: F.transform(k, lambda s: F.struct(F.lit(k).alias("kind"), s["start"], s["end"]))
-    some = F.concat(*KINDS)
-    near = F.when(F.size(some) > 0, _beside(_all_base()))
-    found = found.select("doc_id", "own", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.concat(*[named(k) for k in KINDS]).alias("base"), near.alias("near"))
-    found = common.written(found, "spans")
-    contexts = found.where(F.size("near") > 0).dropDuplicates(["doc_id", "own"]).select("doc_id", "own", "near")
-    contexts = common.written(contexts, "contexts")
+    some = F.size(F.concat(*KINDS)) > 0
+    entities = F.array_distinct(F.transform(_all_base(), lambda s: s["value"]))
+    found = found.select("doc_id", "own", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.concat(*[named(k) for k in KINDS]).alias("base"), F.when(some, F.col("text")).alias("text"), F.when(some, entities).alias("entities"))
+    found = common.written(found.withColumn("row", F.monotonically_increasing_id()), "spans")
+    contexts = common.written(found.where("text IS NOT NULL").select("row", "text", "entities"), "contexts")
     told = common.written(disclosing(docs, contexts).select("entity", "term"), "disclosing")
-    each = contexts.select("doc_id", "own", F.explode("near").alias("t")).select("doc_id", "own", "t.*")
-    terms = each.join(told, ["entity", "term"]).groupBy("doc_id", "own").agg(F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
-    both = found.drop("near").join(common.written(terms, "terms").withColumnsRenamed({"doc_id": "_d", "own": "_o"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("own") == F.col("_o")), "left")
-    return both.select("doc_id", "own", *[f"n_{k}" for k in KINDS], "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", "terms")).alias("spans"))
+    holds = contexts.select("row", F.explode("entities").alias("entity"))
+    marked = contexts.select("row", F.explode(_terms("text")).alias("term")).join(told, "term").join(holds, ["row", "entity"], "left_semi").select("row", "term").distinct()
+    placed = _placed(contexts).join(marked, ["row", "term"], "left_semi")
+    terms = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
+    both = found.drop("text", "entities").join(common.written(terms, "terms"), "row", "left")
+    free = F.filter("terms", lambda t: ~F.exists("base", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
+    return both.select("doc_id", "own", *[f"n_{k}" for k in KINDS], "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", free)).alias("spans"))
 
 
 def joined(array: str) -> Column:

@@ -227,6 +227,38 @@ def test_disclosing_terms(spark):
     assert (9, 17) in marked
 
 
+def test_disclosing_terms_against_brute_force(spark):
+    """Entities of one document, terms far from them, and each place of a term."""
+    rng = random.Random(8)
+    common = [f"word{k}" for k in range(30)]
+    filler = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    texts = [filler(rng.randrange(1, 60)) for _ in range(150)]
+    texts[3] = f"Zyx \U0001f600 {filler(80)} mail a.b@zyx.io {filler(80)} ZYX, zyx"
+    texts[5] = f"Éclair {filler(40)} 10.1.2.3 and bob@x.org {filler(40)} twice"
+    texts[9] = f"10.1.2.3 {filler(20)} éclair twice"
+    texts[11] = "twice once"
+    texts += [f"{filler(9)} 1.1.1.1"] * 12
+    entities = {3: {"email:a.b@zyx.io"}, 5: {"ip:10.1.2.3", "email:bob@x.org"}, 9: {"ip:10.1.2.3"}} | {i: {"ip:1.1.1.1"} for i in range(150, 162)}
+    term = re.compile(r"[^\W_]{3,}")
+    has = [{x.lower() for x in term.findall(t)} for t in texts]
+    n_term, n_entity = Counter(x for h in has for x in h), Counter(e for s in entities.values() for e in s)
+    n_both = Counter((e, x) for i, s in entities.items() for e in s for x in has[i])
+
+    def discloses(e, x):
+        prior = n_entity[e] / len(texts)
+        share = (n_both[e, x] + prior) / (n_term[x] + 1)
+        return share >= 0.5 and share / prior >= 2**4
+
+    marked = 0
+    for r in pii.spans(make(spark, texts)).collect():
+        t, base = texts[r.doc_id], [tuple(x)[1:] for x in r.base]
+        want = [m.span() for m in term.finditer(t) if any(discloses(e, m.group().lower()) for e in entities.get(r.doc_id, ()))]
+        want = [(a, b) for a, b in want if not any(a < y and x < b for x, y in base)]
+        assert [tuple(x)[1:] for x in r.spans if x.kind == "term"] == want
+        marked += len(want)
+    assert marked >= 5
+
+
 def test_warc(spark, tmp_path):
     html = ["<p>é</p>" * 30, "<p>é</p>" * 30, None, "", "short", "short", "z\r\n\r\nWARC/1.1 " * 20]
     pages = spark.createDataFrame([(i, f"http://x/{i}\n", h) for i, h in enumerate(html)] + [(None, None, html[0])], "page_id long, url string, html string")
