@@ -3,7 +3,7 @@
 A byte-level BPE vocabulary with the usual pre-tokenizer never lets a piece run on past a letter, digit or
 sign into a following space, so a text's ids are those of its words, each with the space before it, in a row.
 The exceptions are a space between two other white spaces, and white space other than tab, line ends and the
-plain space; such a text goes to the library as a whole. The words of many texts are found, hashed (64 bits
+plain space, and added tokens such as <|endoftext|>; such a text goes to the library as a whole. The words of many texts are found, hashed (64 bits
 and their length) and looked up at once; the library encodes each word that isn't known yet.
 """
 
@@ -94,11 +94,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE"
+        added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.by_word = self.by_word and not any(re.fullmatch(rf"[ {_LETTER}]*", a) for a in added)  # pieces put in a row could make such a token
         if self.by_word:
             self.known = Words()
             self.lut = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -143,7 +145,7 @@ class Encoder:
         raw = [t.encode() for t in texts]
         own, size, whole = [], 0, []
         for i, b in enumerate(raw):
-            if not self.by_word or len(b) > CHUNK:
+            if not self.by_word or len(b) > CHUNK or self.added(texts[i]):
                 whole.append(i)
             elif b:
                 if size + len(b) > CHUNK:

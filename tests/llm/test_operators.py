@@ -296,3 +296,22 @@ def test_encoder_fuzz():
     parts = [" ", "  ", "\n", "\t", " \n", "a", "Be", "1", ".", "!!", "'s", "é", "中", "\xa0", "<|endoftext|>", "\x00", "😀", "　", "\x85"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(15))) for _ in range(5000)]
     assert e.encode(texts) == e._library(texts)
+
+
+def test_added_tokens(spark, tmp_path):
+    """Ids by a tokenizer of its own, as the contract has it."""
+    from tokenizers import Tokenizer
+
+    rng, fresh = random.Random(4), Tokenizer.from_file(tokens.default_path())
+    ids = lambda t: fresh.encode(t, add_special_tokens=False).ids
+    parts = [" ", "\n", "a", "Be", "1", "é", "<|endoftext|>", "<|endof", "text|>", "\xa0"]
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b c", *["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300)]]
+    assert ids(texts[0]) == [87, 220, 50256, 331]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoder(tokens.default_path()).encode(texts)] == [ids(t) for t in texts]
+    df = make(spark, texts[:40])
+    packed = {}
+    for r in sorted(packing.pack(df, with_ids=True).collect(), key=lambda r: (r.doc_id, r.piece)):
+        packed.setdefault(r.doc_id, []).extend(np.frombuffer(bytes(r.ids), "<u4").tolist())
+    sstable.write(df, path := f"file://{tmp_path}/added", tokens.default_path())
+    stored = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in sstable.read(spark, path).collect()}
+    assert packed == stored == {i: [*ids(t), 0] for i, t in enumerate(texts[:40])}
