@@ -315,3 +315,16 @@ def test_added_tokens(spark, tmp_path):
     sstable.write(df, path := f"file://{tmp_path}/added", tokens.default_path())
     stored = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in sstable.read(spark, path).collect()}
     assert packed == stored == {i: [*ids(t), 0] for i, t in enumerate(texts[:40])}
+
+
+def test_license_siblings_and_bodies(spark):
+    gnu = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    bodies = [x for x in licenses.TEMPLATES if len(x[1].split()) > 60]
+    want = ["GPL-2.0", "LGPL-3.0", "AGPL-3.0", "GPL-3.0", *[n for n, _ in bodies]]
+    texts = [gnu.format("", 2), gnu.format("Lesser ", 3), gnu.format("Affero ", 3), gnu.format("", 3), *[x for _, x in bodies]]
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "CC0-1.0", "BSL-1.0"} <= set(want)
+    got = {r.doc_id: [x.license for x in r.licenses] for r in licenses.scan(make(spark, [f"words before\n{x}\nand after" for x in texts])).collect()}
+    assert got == {i: [n] for i, n in enumerate(want)}
+    short = "Released under the MIT License. "
+    found = licenses.scan(make(spark, [short * 3 + "Licensed under CC BY-NC 4.0."])).first().licenses
+    assert [(x.license, x.start) for x in found] == [("MIT", 0), ("MIT", 5), ("MIT", 10), ("CC-BY-NC-4.0", 15)]
