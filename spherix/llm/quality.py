@@ -120,18 +120,14 @@ def score(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance and kept.
 
     A null text has no words, so it fails the base rule; a null language is a language of its own; a language
-    with fewer than MIN_REFERENCE_WORDS words is judged by the sum of all. Columns of docs that bear one of
-    these names are replaced. Repeated rows are each judged.
+    with fewer than MIN_REFERENCE_WORDS words has no reference, and its histograms aren't judged. Columns of docs
+    that bear one of these names are replaced. Repeated rows are each judged.
     """
     words, chars = references(docs)
-    total = sum(chars.values(), np.zeros(9, dtype=np.int64))
-    merged: Counter = Counter()
-    for w in words.values():
-        merged.update(w)
-    merged = dict(merged.most_common(COMMON_WORDS))
 
     def reference(lang: str | None):
-        c, w = (chars[lang], words[lang]) if lang is not None and lang in words and lang in chars and chars[lang][8] >= MIN_REFERENCE_WORDS else (total, merged)
+        own = lang is not None and lang in words and lang in chars and chars[lang][8] >= MIN_REFERENCE_WORDS
+        c, w = (chars[lang], words[lang]) if own else (np.zeros(9, dtype=np.int64), {})
         place = {x: k for k, x in enumerate(w)}
         n = np.array([*w.values(), max(int(c[8]) - sum(w.values()), 0)], dtype=float)
         return c[:8].astype(float), place, n

@@ -328,3 +328,13 @@ def test_license_siblings_and_bodies(spark):
     short = "Released under the MIT License. "
     found = licenses.scan(make(spark, [short * 3 + "Licensed under CC BY-NC 4.0."])).first().licenses
     assert [(x.license, x.start) for x in found] == [("MIT", 0), ("MIT", 5), ("MIT", 10), ("CC-BY-NC-4.0", 15)]
+
+
+def test_small_language_is_not_judged(spark):
+    rng = random.Random(6)
+    text = lambda w, n: " ".join(rng.choice(w) for _ in range(n))
+    latin, greek = [f"word{chr(97 + k)}" for k in range(26)], [chr(945 + k) * 5 + chr(946 + k) for k in range(15)]
+    rows = [(i, text(latin, 300), "en") for i in range(60)] + [(100 + i, text(greek, 300), "el") for i in range(3)]
+    got = {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(not got[i].base_failed and got[i].char_distance is None and got[i].word_distance is None and got[i].kept for i in (100, 101, 102))
+    assert all(got[i].char_distance is not None and got[i].kept for i in range(60))
