@@ -23,14 +23,16 @@ def components(edges: DataFrame) -> DataFrame:
     pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
     pairs = common.written(pairs, "edges")
     mark = _mark(pairs)
+    # each round's tables go when the next one's edges are there
     for _ in range(MAX_ROUNDS):
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = common.written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = common.written(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u").select("u", "v", "m")
+        hubs = common.written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(hubs, "u").select("u", "v", "m")
         small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        pairs = common.written(small.where("u <> v").distinct(), "edges")
+        before, pairs = pairs, common.written(small.where("u <> v").distinct(), "edges")
+        common.dropped(before, least, large, hubs)
         if (now := _mark(pairs)) == mark:
             break
         mark = now

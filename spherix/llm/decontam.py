@@ -1,10 +1,11 @@
-"""Benchmark decontamination by a positional index, with DataFrame functions only.
-
-The benchmark's windows are the searches. A first pass counts how often each of their terms occurs in the
-documents; each window then looks up the postings (term, document, position) of its rarest term alone. A
-posting moved back by the term's place in the window is a candidate start, which must also be a start by the
-second-rarest term's list, and last by all others; the document's words lie beside the posting, so the lists
-are intersected where they are and no posting is shuffled.
+"""Benchmark decontamination by a stored positional index, with DataFrame functions only.
+
+The benchmark's windows are the searches. One pass over the documents writes the postings (row, term, position)
+of all terms that the searches have, in the order of the documents, and so without a shuffle. Counts of terms
+come from that table. A search reads the postings of its rarest term; each, moved back by the term's place in
+the window, is a candidate start. Candidates meet the list of the second-rarest term at the place that the
+offsets give, and what is left meets the lists of all other terms: a match is in every one of them. Proximity
+matches count postings of each term, repeats included, in the stretch around a candidate.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ from spherix.llm import common
 WINDOW = 10
 #: Separators: everything but digits, a-z and what isn't ASCII, after A-Z are lower-cased.
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Windows that may be sent to all executors (about 300 bytes each); a larger benchmark is joined by shuffle.
-MAX_BROADCAST = 50_000
+#: Searches, terms or rows that may be sent to all executors, and their bytes; larger tables are joined by shuffle.
+MAX_BROADCAST, MAX_BYTES = 200_000, 32 << 20
+END = -1  # the term that ends each document; its position is the number of words
 
 
 def words_of(text: Column) -> Column:
@@ -33,92 +35,149 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.groupBy("gram").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
 
-def indexed_words(docs: DataFrame) -> DataFrame:
-    return common.text_rows(docs).select("doc_id", F.xxhash64("text").alias("own"), words_of(F.col("text")).alias("words"))
-
-
-def postings(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """The positional index: (term, doc_id, own, position), of all terms or of those in terms (term)."""
-    rows = indexed_words(docs).select("doc_id", "own", F.posexplode("words").alias("position", "term"))
-    return rows if terms is None else rows.join(terms, "term", "left_semi")
+def _small(df: DataFrame, size: Column) -> bool:
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= MAX_BROADCAST and total <= MAX_BYTES
 
 
-def anchored(docs: DataFrame, grams: DataFrame, small: bool) -> DataFrame:
-    """grams with their two rarest terms and places (first, at1, second, at2); those with a term that never occurs go."""
-    hint = F.broadcast if small else (lambda x: x)
-    vocabulary = grams.select(F.explode("gram").alias("term")).distinct()
-    counts = postings(docs).select("term").join(hint(vocabulary), "term").groupBy("term").agg(F.count("*").alias("n"))
-    counts = common.written(counts, "terms")
-    places = grams.select("gram", "items", F.posexplode("gram").alias("at", "term")).join(counts, "term", "left")
-    rare = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term")))
-    out = places.groupBy("gram", "items").agg(rare.alias("r")).where(F.col("r")[0]["n"] > 0)
-    second = F.coalesce(F.get("r", F.lit(1)), F.col("r")[0])
-    return out.select("gram", "items", F.size("gram").alias("n"), F.col("r")[0]["term"].alias("first"), F.col("r")[0]["at"].alias("at1"), second["term"].alias("second"), second["at"].alias("at2"))
+def _sent(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = 0) -> DataFrame:
-    """(doc_id, own, start, n, items, n_words): where windows occur, and per document one row with n_words.
+def postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+    """The positional index as a stored table: (row, term, pos, doc_id, own).
 
-    With slop 0 the exact phrases. Otherwise the proximity matches too: all words of the window, in any order,
-    lie within `slop` words around the place that its rarest word gives it.
+    vocabulary (word, term) has the terms to index by number; without it the index has every word, as itself. row is a
+    number for each row of docs, pos counts from 0. The last posting of a row has the term END (without vocabulary, the
+    empty word), the number of words as pos, and alone doc_id and own, a hash of the text.
     """
-    spark = docs.sparkSession
-    grams = common.written(windows(benchmark, window), "windows")
-    small = grams.count() <= MAX_BROADCAST
-    searches = anchored(docs, grams, small)
-    # the empty word, which no text has, marks the end of each document and carries its length; by shuffle it
-    # would be one key for all documents, so their ends are taken apart from the join
-    end = spark.range(1).select(F.array().cast("array<string>").alias("gram"), F.array().cast("array<string>").alias("items"), F.lit(0).alias("n"), F.lit("").alias("first"), F.lit(0).alias("at1"), F.lit("").alias("second"), F.lit(0).alias("at2"))
-    searches = common.written(searches.union(end) if small else searches, "searches")
-    own = indexed_words(docs)
-    if small:
-        rows = own.select("doc_id", "own", F.concat("words", F.array(F.lit(""))).alias("words")).select("doc_id", "own", "words", F.posexplode("words").alias("pos", "first"))
-        here, place = F.col("words"), F.col("pos")
-        searches = F.broadcast(searches)
-    else:  # each posting takes the words in reach of a window with it
-        reach = window + slop
-        rows = own.select("doc_id", "own", F.posexplode("words").alias("pos", "first"), "words")
-        rows = rows.select("doc_id", "own", "pos", "first", F.least("pos", F.lit(reach)).alias("inner"), F.slice("words", F.greatest(F.col("pos") - reach + 1, F.lit(1)), 2 * reach + 1).alias("words"))
-        here, place = F.col("words"), F.col("inner")
-    at = place - F.col("at1")
-    if slop:
-        begin = F.greatest(at + 1 - slop, F.lit(1))
-        match = F.size(F.array_except("gram", F.slice(here, begin, F.greatest(at + F.col("n") + slop - begin + 1, F.lit(0))))) == 0
+    small = vocabulary is None or _small(vocabulary, F.octet_length("word"))
+    texts = common.text_rows(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("own"), "text")
+    if not small:  # the rows are read twice, so their numbers have to be kept
+        texts = common.written(texts, "numbered")
+    ended = F.concat(words_of(F.col("text")), F.array(F.lit(""))) if small else words_of(F.col("text"))
+    each = texts.select("row", "doc_id", "own", ended.alias("words")).select("row", "doc_id", "own", F.posexplode("words").alias("pos", "word"))
+    if vocabulary is None:
+        held = each.withColumnRenamed("word", "term")
+        end = F.col("term") == ""
     else:
-        match = (at >= 0) & (F.get(here, at + F.col("at2")) == F.col("second")) & (F.slice(here, F.greatest(at + 1, F.lit(1)), F.col("n")) == F.col("gram"))
-    found = rows.join(searches, "first").where((F.col("n") == 0) | match)
-    start = F.when(F.col("n") > 0, F.greatest(F.col("pos") - F.col("at1"), F.lit(0)))
-    out = found.select("doc_id", "own", start.alias("start"), "n", "items", F.when(F.col("n") == 0, F.col("pos")).cast("long").alias("n_words"))
-    if small:
-        return out
-    return out.unionByName(own.select("doc_id", "own", F.lit(None).cast("int").alias("start"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("items"), F.size("words").cast("long").alias("n_words")))
+        every = vocabulary.select("word", "term")
+        if small:
+            every = F.broadcast(every.union(docs.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(END).alias("term"))))
+        held = each.join(every, "word")
+        end = F.col("term") == END
+    out = held.select("row", "term", "pos", F.when(end, F.col("doc_id")).alias("doc_id"), F.when(end, F.col("own")).alias("own"))
+    if not small:
+        ends = texts.select("row", F.lit(END).alias("term"), F.size(words_of(F.col("text"))).alias("pos"), "doc_id", "own")
+        out = out.unionByName(ends)
+    return common.written(out, "postings")
+
+
+class Index:
+    """The postings of docs for the windows of a benchmark, and the windows as searches with their terms from the rarest on."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW):
+        grams = common.written(windows(benchmark, window).withColumn("g", F.monotonically_increasing_id()), "windows")
+        words = grams.select(F.explode("gram").alias("word")).distinct()
+        vocabulary = common.written(words.select("word", F.monotonically_increasing_id().alias("term")), "vocabulary")
+        self.held = postings(docs, vocabulary)
+        self.lists = self.held.where(F.col("term") != END).select("row", "term", "pos")
+        self.ends = self.held.where(F.col("term") == END).select("row", "doc_id", "own", F.col("pos").cast("long").alias("n_words"))
+        counts = self.lists.groupBy("term").agg(F.count("*").alias("n"))
+        terms = common.written(vocabulary.join(counts, "term").select("word", "term", "n"), "terms")
+        places = grams.select("g", F.posexplode("gram").alias("at", "word")).join(terms, "word", "left")
+        rare = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("r")
+        found = places.groupBy("g").agg(rare).where(F.col("r")[0]["n"] > 0)  # a term that never occurs ends a search
+        self.searches = common.written(found.join(grams, "g").select("g", "r", "items", F.size("r").alias("n")), "searches")
+        self.small = _small(self.searches, 40 * F.col("n") + 60)
+        common.dropped(vocabulary, grams, terms)
+
+    def candidates(self) -> DataFrame:
+        """(row, g, start): the postings of each search's rarest term, moved back by its place."""
+        first = self.searches.select("g", F.col("r")[0]["term"].alias("term"), F.col("r")[0]["at"].alias("at"))
+        return self.lists.join(_sent(first, self.small), "term").select("row", "g", (F.col("pos") - F.col("at")).alias("start"))
+
+    def _asked(self, cand: DataFrame, rest: str) -> DataFrame:
+        """(row, g, start, term, pos): where the terms `rest` of r have to stand for the candidates."""
+        own = self.searches.select("g", F.explode(F.expr(rest)).alias("x")).select("g", "x.term", "x.at")
+        return cand.join(_sent(own, self.small), "g").select("row", "g", "start", "term", (F.col("start") + F.col("at")).alias("pos"))
+
+    def phrases(self) -> DataFrame:
+        """(row, g, start): the exact matches."""
+        cand = self.candidates().where("start >= 0")
+        one = self.searches.where("n = 1").select("g")
+        single = cand.join(_sent(one, self.small), "g", "left_semi").select("row", "g", "start")
+        seconds = self.searches.where("n > 1").select(F.col("r")[1]["term"].alias("term")).distinct()
+        lists = self.lists.join(_sent(seconds, self.small), "term", "left_semi").select("row", "term", "pos")
+        two = common.written(self._asked(cand, "slice(r, 2, 1)").join(lists, ["row", "term", "pos"], "left_semi").select("row", "g", "start"), "candidates")
+        rows = two.select("row").distinct()
+        few = _small(rows, F.lit(16))
+        lists = self.lists.join(F.broadcast(rows), "row", "left_semi") if few else self.lists
+        met = self._asked(two, "slice(r, 3, 1000)").join(lists, ["row", "term", "pos"], "left_semi")
+        met = met.groupBy("row", "g", "start").agg(F.count("*").alias("met"))
+        all_ = met.join(_sent(self.searches.select("g", "n"), self.small), "g").where("met = n - 2").select("row", "g", "start")
+        pairs = two.join(_sent(self.searches.where("n = 2").select("g"), self.small), "g", "left_semi").select("row", "g", "start")
+        return single.unionByName(pairs).unionByName(all_)
+
+    def near(self, slop: int) -> DataFrame:
+        """(row, g, start): candidates with all terms of the window, each as often as there, from `slop` words before to `slop` words after its place, in any order."""
+        need = self.searches.select("g", "n", F.explode("r").alias("x")).groupBy("g", "n", "x.term").agg(F.count("*").alias("need"))
+        need = need.groupBy("g", "n").agg(F.collect_list(F.struct("term", "need")).alias("t"))
+        wide = self.searches.agg(F.max("n")).first()[0] or 1
+        width = wide + 2 * slop  # a stretch lies in at most two blocks of so many words
+        cand = self.candidates().join(_sent(need, self.small), "g").select("row", "g", "start", (F.col("start") - slop).alias("lo"), (F.col("start") + F.col("n") + slop).alias("hi"), F.size("t").alias("terms"), F.explode("t").alias("x"))
+        block = lambda c: F.floor(F.expr(c) / F.lit(width)).cast("long")
+        cand = cand.select("*", F.explode(F.array_distinct(F.array(block("lo"), block("hi - 1")))).alias("block")).select("row", "g", "start", "lo", "hi", "terms", "x.term", "x.need", "block")
+        lists = self.lists.withColumn("block", block("pos"))
+        met = cand.join(lists, ["row", "term", "block"]).where("pos >= lo AND pos < hi")
+        met = met.groupBy("row", "g", "start", "terms", "term", "need").agg(F.count("*").alias("met")).where("met >= need")
+        return met.groupBy("row", "g", "start", "terms").agg(F.count("*").alias("met")).where("met = terms").select("row", "g", "start")
+
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """(row, doc_id, own, start, n, items): where windows of n words occur, items having them.
+
+    Without slop the exact phrases. With it the proximity matches (see Index.near); start is the place that the window's
+    rarest term gives it and may lie before the document. Empty tables, null texts and texts without words match nothing.
+    """
+    index = Index(docs, benchmark, window)
+    met = index.phrases() if slop is None else index.near(slop)
+    return met.join(_sent(index.searches.select("g", "n", "items"), index.small), "g").join(index.ends, "row").select("row", "doc_id", "own", "start", "n", "items")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, own, n_words, n_hit, n_items, items, contaminated) for every distinct (doc_id, text); own is a hash of the text.
+    """(doc_id, own, n_words, n_hit, n_items, items, contaminated), a row per row of docs; own is a hash of the text.
 
     A null text has no words. Items without item_id mark words as hit but aren't counted in n_items. Rows
-    that repeat a document are one row here. An empty benchmark hits nothing.
+    that repeat a document, or have no doc_id, are documents of their own. An empty benchmark hits nothing, and an
+    empty table gives no rows; docs may have any further columns.
     """
-    found = find(docs, benchmark, window)
-    spans = F.array_sort(F.collect_set(F.when(F.col("n") > 0, F.struct(F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n")).cast("long").alias("e")))))
-    per = found.groupBy("doc_id", "own").agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.collect_set("items").alias("sets"))
+    index = Index(docs, benchmark, window)
+    met = index.phrases().join(_sent(index.searches.select("g", "n", "items"), index.small), "g")
+    span = F.struct(F.col("start").cast("long").alias("s"), (F.col("start") + F.col("n")).cast("long").alias("e"))
+    per = met.groupBy("row").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("items").alias("sets"))
     zero = F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("hit"))
     merge = lambda acc, x: F.struct(F.greatest(acc["to"], x["e"]).alias("to"), (acc["hit"] + F.greatest(x["e"] - F.greatest(acc["to"], x["s"]), F.lit(0))).alias("hit"))
-    hit = F.when(F.size("spans") == 0, F.lit(0).cast("long")).otherwise(F.aggregate("spans", zero, merge, lambda acc: acc["hit"]))
-    items = F.array_sort(F.array_distinct(F.flatten("sets")))
-    out = per.select("doc_id", "own", "n_words", hit.alias("n_hit"), items.alias("items"))
+    per = per.select("row", F.aggregate("spans", zero, merge, lambda acc: acc["hit"]).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("items"))
+    out = index.ends.join(per, "row", "left")
+    none = F.array().cast("array<string>")
+    out = out.select("doc_id", "own", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items"))
     return out.select("doc_id", "own", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark window."""
-    bad = contamination(docs, benchmark).where("contaminated").select("doc_id", "own")
-    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], own.alias("_own"))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_own"] == bad["own"]), "left_anti").drop("_own")
+    """docs without the documents that hold a benchmark window.
+
+    Null texts, rows without doc_id and rows that repeat stay unless they hold one; columns are those of docs.
+    """
+    own, bad_id, bad_own = common.unused(docs, "hash", "bad_id", "bad_hash")
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("own").alias(bad_own)).distinct()
+    keyed = docs.select(*common.columns(docs), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(own))
+    kept = keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.col(own) == F.col(bad_own)), "left_anti")
+    return kept.select(*common.columns(docs))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, a row per row of documents (see contamination)."""
     out = contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -23,6 +23,8 @@ from spherix.llm.components import components
 BITS, DISTANCE, SHINGLE = 64, 3, 3
 BLOCKS, FINE_BLOCKS = 6, 8
 LARGE = 256
+#: Rows that repeat one document and are returned by one task at once.
+AGAIN = 1 << 14
 
 
 def _split(bits: list[int], n: int) -> list[list[int]]:
@@ -45,7 +47,7 @@ def fine_masks(coarse: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per distinct (doc_id, text). Null texts and texts without words have fingerprint 0.
+    """(doc_id, own, n, fp): one row per distinct (doc_id, text) with a hash of the text and the rows that have both. Null texts and texts without words have fingerprint 0.
 
     The 64 bit counts of a document are 32 sums of longs, each holding two counts; they are summed on the
     task that reads the document, before the shuffle.
@@ -58,11 +60,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = rows.where(F.col("pos").isNull() | (F.col("pos") <= F.greatest(n - SHINGLE, F.lit(0))))
     more = [F.get("words", F.col("pos") + k) for k in range(1, SHINGLE)]
     h = F.when(F.col("pos").isNotNull(), F.xxhash64(F.concat_ws(" ", "word", *more)))
-    rows = rows.select("doc_id", "own", h.alias("h"))
+    rows = rows.select("doc_id", "own", "pos", h.alias("h"))
     pair = F.lit(1 << 32 | 1)
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(pair)).alias(f"s{j}") for j in range(32)]
-    found = rows.groupBy("doc_id", "own").agg(F.count("h").alias("n"), *sums)
-    return found.mapInArrow(_decide, "doc_id long, fp long")
+    again = F.count_if(F.col("pos").isNull() | (F.col("pos") == 0)).alias("again")
+    found = rows.groupBy("doc_id", "own").agg(F.count("h").alias("n"), again, *sums)
+    return found.mapInArrow(_decide, "doc_id long, own long, n long, fp long")
 
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +77,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both = batch.column(f"s{j}").fill_null(0).to_numpy()
             fp |= np.where(2 * (both & 0xFFFFFFFF) > half, np.int64(_mask([[j]])), 0)
             fp |= np.where(2 * (both >> 32) > half, np.int64(_mask([[j + 32]])), 0)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("own"), batch.column("again"), pa.array(fp)], ["doc_id", "own", "n", "fp"])
 
 
 def _forest(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list[int], list[int]]:
@@ -110,6 +113,10 @@ def _links(fp: np.ndarray, group: np.ndarray, largest: int) -> tuple[np.ndarray,
 def _bucket_links(most: int | None):
     """Reads (k, key, fp) sorted; gives links (0, 0, u, v), and the rows (k + 1, key, fp, 0) of buckets above most."""
 
+    def passed_on(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if rows.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0] + 1), pa.array(rows[1]), pa.array(rows[2]), pa.array(np.zeros(rows.shape[1], np.int64))], ["k", "key", "u", "v"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
 
@@ -135,15 +142,25 @@ def _bucket_links(most: int | None):
             for columns in out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in columns], ["k", "key", "u", "v"])
 
+        flushed = None  # a bucket that is known to be above most goes on as it comes
         for batch in batches:
             rows = np.array([batch.column(c).to_numpy() for c in range(3)])
             if kept:
                 rows = np.concatenate([*kept, rows], axis=1)
+                kept = []
+            if flushed is not None:
+                other = np.nonzero((rows[0] != flushed[0]) | (rows[1] != flushed[1]))[0]
+                n = int(other[0]) if len(other) else rows.shape[1]
+                yield from passed_on(rows[:, :n])
+                rows, flushed = rows[:, n:], None if len(other) else flushed
             last = np.nonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1]))[0] if rows.shape[1] else []
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
                 yield from emit(rows[:, :cut])
             kept = [rows[:, cut:]]
+            if most and kept[0].shape[1] > most:
+                yield from passed_on(kept[0])
+                flushed, kept = kept[0][:2, 0], []
         if kept and kept[0].shape[1]:
             yield from emit(kept[0])
 
@@ -172,7 +189,7 @@ def _or(a: int, b: int) -> int:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id) of every distinct (doc_id, text).
+    """(doc_id, own, fp, n, component_id): a row per distinct (doc_id, text), own being a hash of the text and n the rows that repeat it.
 
     Texts without words share fingerprint 0 and so are linked like any others. A component's id is its
     smallest doc_id that isn't null.
@@ -181,17 +198,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = common.written(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = common.written(components(links(first)).select(F.col("node").alias("fp"), "root"), "roots")
     rooted = common.written(first.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    common.dropped(first, roots)
     least = common.written(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    named = common.written(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = common.written(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+    common.dropped(rooted, least)
+    return own.join(named, "fp").select("doc_id", "own", "fp", "n", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, that with the smallest doc_id; a row without doc_id isn't kept."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each component stays: that with the smallest doc_id, any of those that have none if no row has one.
+
+    Of several texts with that doc_id, and of rows that repeat it, one stays. A null text is an empty one; an
+    empty table gives no rows; columns are those of docs.
+    """
+    doc_id, own, n = common.unused(docs, "stay_id", "stay_own", "stay_n")
+    found = near_duplicates(docs)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own", "n")).alias("b"))
+    stay = common.written(best.select(F.col("b.doc_id").alias(doc_id), F.col("b.own").alias(own), F.col("b.n").alias(n)), "stay")
+    keyed = docs.select(*common.columns(docs), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(own))
+    once = keyed.join(stay.where(F.col(n) == 1).withColumnRenamed(own, f"{own}_"), F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (F.col(own) == F.col(f"{own}_")), "left_semi")
+    # rows that repeat: any one of them, put together before the shuffle
+    again = keyed.join(stay.where(F.col(n) > 1).withColumnRenamed(own, f"{own}_"), F.col("doc_id").cast("long").eqNullSafe(F.col(doc_id)) & (F.col(own) == F.col(f"{own}_")), "left_semi")
+    whole = F.any_value(F.struct(*common.columns(docs))).alias(n)
+    again = again.groupBy(F.col("doc_id").cast("long").alias(doc_id), own).agg(whole).select(f"{n}.*")
+    return once.select(*common.columns(docs)).unionByName(again)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable), a row per row of documents.
+
+    Null texts and texts without words have fingerprint 0 and are linked; rows that repeat (doc_id, text) are each
+    returned; a row without doc_id has the component of its links, null if none of them has an id.
+    """
     out = near_duplicates(common.table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = out.select("n", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a row per row that repeats; of many, in parts that are dealt out
+    names = ["doc_id", "fingerprint", "component_id"]
+    many = out.where(F.col("n") > AGAIN).select("*", F.explode(F.expr(f"sequence(0L, n - 1, {AGAIN}L)")).alias("k")).select(*names, F.least(F.col("n") - F.col("k"), F.lit(AGAIN)).alias("n")).repartition()
+    few = out.where(F.col("n") <= AGAIN).select(*names, "n").unionByName(many)
+    return few.select(*names, F.explode(F.expr("sequence(1L, n)")).alias("k")).drop("k")

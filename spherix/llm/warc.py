@@ -1,12 +1,16 @@
 """WARC archives as a Spark data source in Python, and page archives with revisit records.
 
-Reading plans one partition a file, takes over predicates on record type and headers, parses each record's
-headers first and steps over the block of a record that no predicate wants. Writing makes one file a task;
-only files that the driver has committed are listed in the folder's manifest, and only those are read.
+Reading plans partitions of files, takes over predicates on record type and headers, parses each record's
+headers first and steps over the block of a record that no predicate wants. It reads any folder of .warc and
+.warc.gz files, or one file. Writing makes one file a task; only files that the driver has committed are listed
+in the folder's manifest, with the places of records at which they may be split, and where there is a manifest only
+its files are read. A file without such places, or with gzip members, is one partition: a payload may hold
+whole records of its own, so that no place can be told from its bytes alone.
 """
 
 from __future__ import annotations
 
+import gzip
 import io
 import uuid
 from collections.abc import Iterator
@@ -24,18 +28,13 @@ WRITE_SCHEMA = SCHEMA
 HEADERS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "payload_digest": "warc-payload-digest"}
 MANIFEST = "_manifest"
 BATCH_BYTES = 4 << 20
+#: Bytes of a file after which a partition may begin.
+SPLIT_BYTES = 64 << 20
 #: Payloads shorter than this are never replaced by a revisit.
 LEAST_REVISIT = 100
 PAGE_ID = "urn:page:"
 
 
-def file_system(path: str):
-    """The Arrow file system of a folder, local or remote, and its path there."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 def _header(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else " " for c in value)
 
@@ -53,13 +52,20 @@ def record(row) -> bytes:
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(stream, wanted) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """(headers, block) of each record; the block of a record that `wanted` refuses is stepped over, and the record left out."""
+def info() -> bytes:
+    """The record that a file begins with."""
+    block = b"format: WARC File Format 1.1\r\nsoftware: spherix\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def parse(stream, wanted, end: int | None = None) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """(headers, block) of each record that begins before `end`; the block of a record that `wanted` refuses is stepped over, and the record left out."""
     while True:
-        line = stream.readline()
+        at, line = stream.tell(), stream.readline()
         while line in (b"\r\n", b"\n"):
-            line = stream.readline()
-        if not line:
+            at, line = stream.tell(), stream.readline()
+        if not line or end is not None and at >= end:
             return
         if not line.startswith(b"WARC/"):
             raise ValueError(f"not a WARC record: {line[:40]!r}")
@@ -83,14 +89,25 @@ def _values(headers: dict[str, str]) -> dict[str, str | None]:
 
 
 class WarcPartition(InputPartition):
-    def __init__(self, name: str):
+    """Records of a file that begin in [start, end)."""
+
+    def __init__(self, name: str, start: int = 0, end: int | None = None):
         super().__init__(name)
-        self.name = name
+        self.name, self.start, self.end = name, start, end
+
+
+def block_of(headers: dict[str, str], block: bytes) -> tuple[int, bytes]:
+    """(length, payload) of a record's block: what follows the HTTP head in one, else all."""
+    if not headers.get("content-type", "").startswith("application/http"):
+        return len(block), block
+    http, _, body = block.partition(b"\r\n\r\n")
+    own = (x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
+    return next((int(x) for x in own if x.isdigit()), len(body)), body
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path, self.tests = path, []
+    def __init__(self, path: str, payload: bool = True):
+        self.path, self.payload, self.tests = path, payload, []
 
     def pushFilters(self, filters):
         for f in filters:
@@ -105,30 +122,44 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        files, path = file_system(self.path)
-        with files.open_input_stream(f"{path}/{MANIFEST}") as f:
-            names = f.read().decode().split("\n")
-        return [WarcPartition(n) for n in names if n] or [WarcPartition("")]
+        from pyarrow import fs
+
+        files, path = common.file_system(self.path)
+        kind = files.get_file_info([path, f"{path}/{MANIFEST}"])
+        if kind[0].type == fs.FileType.File:
+            return [WarcPartition("")]
+        if kind[1].type == fs.FileType.File:
+            with files.open_input_stream(f"{path}/{MANIFEST}") as f:
+                lines = [x.split("\t") for x in f.read().decode().split("\n") if x]
+        else:
+            found = files.get_file_info(fs.FileSelector(path, recursive=True))
+            lines = [[x.path[len(path) :].lstrip("/"), ""] for x in sorted(found, key=lambda x: x.path) if x.is_file and x.base_name.endswith((".warc", ".warc.gz"))]
+        out = []
+        for name, cuts in lines:
+            at = [0, *map(int, filter(None, cuts.split(",")))]
+            out += [WarcPartition(name, a, b) for a, b in zip(at, [*at[1:], None])]
+        return out or [WarcPartition("", 0, 0)]
+
+    def _wanted(self, headers: dict[str, str]) -> bool:
+        own = _values(headers)
+        return all((own[c] in v) if how == "in" else own[c] is not None and own[c].startswith(v) for c, how, v in self.tests)
 
     def read(self, partition):
-        if not partition.name:
+        if partition.end == 0:
             return
-        files, path = file_system(self.path)
-        tests = self.tests
-
-        def wanted(headers) -> bool:
-            own = _values(headers)
-            return all((own[c] in v) if how == "in" else (own[c] or "").startswith(v) for c, how, v in tests)
-
+        files, path = common.file_system(self.path)
+        whole = f"{path}/{partition.name}" if partition.name else path
         names = [n.split()[0] for n in SCHEMA.split(", ")]
         kinds = [pa.string()] * 5 + [pa.int64(), pa.binary()]
         rows, size = [], 0
-        with files.open_input_file(f"{path}/{partition.name}") as raw:
-            for headers, block in parse(io.BufferedReader(raw, 1 << 20), wanted):
+        with files.open_input_file(whole) as raw:
+            stream = io.BufferedReader(gzip.GzipFile(fileobj=raw) if whole.endswith(".gz") else raw, 1 << 20)
+            if partition.start:
+                stream.seek(partition.start)
+            for headers, block in parse(stream, self._wanted, partition.end):
                 own = _values(headers)
-                http, mark, body = block.partition(b"\r\n\r\n")
-                length = next((int(x.partition(b":")[2]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")), len(body))
-                rows.append((*own.values(), length, None if own["record_type"] == "revisit" else body))
+                length, body = block_of(headers, block)
+                rows.append((*own.values(), length, body if self.payload and own["record_type"] != "revisit" else None))
                 size += len(body) + 500
                 if size >= BATCH_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -138,41 +169,52 @@ class WarcReader(DataSourceReader):
 
 
 class Written(WriterCommitMessage):
-    def __init__(self, name: str | None):
-        self.name = name
+    def __init__(self, name: str | None, cuts: tuple[int, ...] = ()):
+        self.name, self.cuts = name, cuts
 
 
 class WarcWriter(DataSourceWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, zipped: bool = False, split: int = SPLIT_BYTES):
+        self.path, self.zipped, self.split = path, zipped, split
 
     def write(self, rows):
-        files, path = file_system(self.path)
+        files, path = common.file_system(self.path)
         files.create_dir(path, recursive=True)
-        name, some = f"part-{uuid.uuid4().hex}.warc", False  # a retried or doubled task writes another file
-        with files.open_output_stream(f"{path}/{name}") as out:
+        name, at, cuts = f"part-{uuid.uuid4().hex}.warc{'.gz' * self.zipped}", 0, []  # a retried or doubled task writes another file
+        pack = gzip.compress if self.zipped else bytes
+        with files.open_output_stream(f"{path}/{name}", compression=None) as out:
             for row in rows:
-                out.write(record(row))
-                some = True
-        if not some:
+                if not at:
+                    out.write(first := pack(info()))
+                    at = len(first)
+                if at - (cuts[-1] if cuts else 0) >= self.split and not self.zipped:
+                    cuts.append(at)
+                out.write(data := pack(record(row)))
+                at += len(data)
+        if not at:
             files.delete_file(f"{path}/{name}")
-        return Written(name if some else None)
+        return Written(name if at else None, tuple(cuts))
 
     def commit(self, messages):
-        files, path = file_system(self.path)
+        files, path = common.file_system(self.path)
         files.create_dir(path, recursive=True)
+        lines = sorted(f"{m.name}\t{','.join(map(str, m.cuts))}" for m in messages if m and m.name)
         with files.open_output_stream(f"{path}/{MANIFEST}") as out:
-            out.write("\n".join(sorted(m.name for m in messages if m and m.name)).encode())
+            out.write("\n".join(lines).encode())
 
     def abort(self, messages):
-        files, path = file_system(self.path)
+        files, path = common.file_system(self.path)
         for m in messages:
             if m and m.name:
                 files.delete_file(f"{path}/{m.name}")
 
 
 class WarcSource(DataSource):
-    """spark.read.format("warc").load(folder), and df.write.format("warc").mode("append").save(folder)."""
+    """spark.read.format("warc").load(folder or file), and df.write.format("warc").mode("append").save(folder).
+
+    Option payload (reading; true): false leaves payloads out. Options compression (writing; none): gzip makes each
+    record a member of its own; split_bytes (writing): least bytes between the places at which a file may be split.
+    """
 
     @classmethod
     def name(cls):
@@ -182,10 +224,10 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(self.options["path"])
+        return WarcReader(self.options["path"], self.options.get("payload", "true").lower() != "false")
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], self.options.get("compression", "none") == "gzip", int(self.options.get("split_bytes", SPLIT_BYTES)))
 
 
 def register(spark: SparkSession) -> None:
@@ -206,7 +248,8 @@ def records(pages: DataFrame) -> DataFrame:
     first = common.written(first.where("n > 1 AND first IS NOT NULL").select("payload_digest", "first"), "first")
     both = own.join(first, "payload_digest", "left")
     again = F.coalesce(F.col("page_id") != F.col("first"), F.col("first").isNotNull() & F.col("page_id").isNull())
-    urn = lambda c: F.concat(F.lit(PAGE_ID), F.coalesce(F.col(c).cast("string"), F.lit("none")))
+    none = F.concat(F.lit("none-"), F.monotonically_increasing_id().cast("string"))
+    urn = lambda c: F.concat(F.lit(PAGE_ID), F.coalesce(F.col(c).cast("string"), none))
     return both.select(
         F.when(again, "revisit").otherwise("response").alias("record_type"),
         urn("page_id").alias("record_id"),
@@ -218,14 +261,14 @@ def records(pages: DataFrame) -> DataFrame:
     )
 
 
-def archive(pages: DataFrame, path: str) -> None:
+def archive(pages: DataFrame, path: str, **options: str) -> None:
     register(pages.sparkSession)
-    records(pages).write.format("warc").mode("append").save(path)
+    records(pages).write.format("warc").options(**options).mode("append").save(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
-    return spark.read.format("warc").load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
 
 
 def page_of(urn: str):
@@ -233,8 +276,15 @@ def page_of(urn: str):
 
 
 def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per row of pages, from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A null html is an empty payload; a page without page_id is a response, or a revisit of one with an id; rows that
+    share the smallest page_id of a payload are all responses; an empty table gives no rows. The wanted record types
+    are pushed to the source, which steps over the others' blocks.
+    """
     path = common.new_path(spark, "warc")
     archive(common.table(spark, sf_dir, "pages"), path)
+    rows = read(spark, path).where(F.col("record_type").isin("response", "revisit"))
     digest = F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).otherwise(F.col("payload_digest"))
     size = F.when(F.col("payload").isNotNull(), F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
-    return read(spark, path).select(page_of("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page_of("refers_to").alias("refers_to"))
+    return rows.select(page_of("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", page_of("refers_to").alias("refers_to"))
