@@ -210,6 +210,10 @@ def _best(found: list[tuple]) -> list[tuple]:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_matches, licenses (names, comma-joined) and best_containment, a row per row of documents.
+
+    Null and short texts have none; rows that repeat or have no doc_id are scanned each; an empty table gives no rows.
+    """
     from pyspark.sql import functions as F
 
     out = scan(common.table(spark, sf_dir, "documents"))

@@ -156,7 +156,8 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """cut (doc_id, piece, length and any more columns) with sequence_id and offset.
 
     Ranks are counted within (length, part of doc_id) and raised by the parts before; both tables of counts
-    have at most capacity * PARTS rows. cut is read twice, so it should be a written table.
+    have at most capacity * PARTS rows. cut is read twice, so it should be a written table. Pieces that repeat
+    doc_id and piece are each placed; an empty table gives no rows.
     """
     spark = cut.sparkSession
     parted = cut.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(PARTS)))
@@ -184,11 +185,17 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """Pack documents: a row per piece with its checksum, sequence and offset, and on request its ids."""
+    """Pack documents: a row per piece with its checksum, sequence and offset, and on request its ids (see pieces for odd rows).
+
+    An empty table gives no rows; columns of docs other than doc_id and text are left out.
+    """
     cut = pieces(docs, tokenizer or tokens.default_path(), capacity, end_id).withColumn("ids_crc32", F.crc32("ids"))
     cut = common.written(cut if with_ids else cut.drop("ids"), "pieces")
     return assign(cut, capacity)
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of pack, a row per piece of documents: a null text is one end id, rows that repeat a doc_id or
+    have none are packed each, pieces of equal length and id take any of their places, an empty table gives no rows.
+    """
     return pack(common.table(spark, sf_dir, "documents"))

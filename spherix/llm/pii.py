@@ -6,7 +6,8 @@ character class to match. Each value found is a protected entity. All terms of t
 against the whole corpus: from how many documents a term occurs in at all, and how many of them hold the
 entity, follow the chance that it points to the entity, smoothed by the entity's share of all documents, and
 the information that it gives away. Terms above both thresholds are spans of kind `term` wherever they stand in
-a document with the entity, to be generalised like the entity itself.
+a document with the entity, to be generalised like the entity itself; where enough documents hold both, so that it
+is no coincidence, a term is one in every other document too, as there it points to the entity as well.
 """
 
 from __future__ import annotations
@@ -30,6 +31,10 @@ TERM = r"[\p{L}\p{N}]{3,}"
 #: A term is disclosing if the chance of the entity in a document with the term is at least MIN_SHARE, and at least
 #: MIN_BITS higher than in any document. To a term's documents SMOOTH more are added, which hold the entity as often as any.
 SMOOTH, MIN_SHARE, MIN_BITS = 1.0, 0.5, 4.0
+#: Documents that hold a term and its entity, from which on the term discloses without the entity.
+MIN_BOTH = 3
+#: Terms that may be sent to all executors.
+MAX_BROADCAST = 100_000
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -132,11 +137,25 @@ def disclosing(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     return out.withColumn("bits", F.log2(F.col("share") / prior)).where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS))
 
 
+def _elsewhere(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(e_id, e_own, elsewhere): the places of terms (term) in every document that has one, by doc_id and hash of the text."""
+    terms = F.broadcast(terms) if terms.count() <= MAX_BROADCAST else terms
+    texts = common.text_rows(docs).select("doc_id", F.xxhash64("text").alias("own"), "text")
+    hits = texts.select("doc_id", "own", F.explode(_terms("text")).alias("term")).join(terms, "term", "left_semi").select(F.col("doc_id").alias("h_id"), F.col("own").alias("h_own")).distinct()
+    held = texts.join(hits, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("own") == F.col("h_own")), "left_semi")
+    held = held.groupBy("doc_id", "own").agg(F.any_value("text").alias("text"))  # rows that repeat have the same places
+    held = common.written(held.withColumn("row", F.monotonically_increasing_id()), "elsewhere")
+    placed = _placed(held.select("row", "text")).join(terms, "term", "left_semi")
+    found = placed.groupBy("row").agg(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("elsewhere"))
+    return held.select("row", F.col("doc_id").alias("e_id"), F.col("own").alias("e_own")).join(found, "row").drop("row")
+
+
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, own, n_email, n_ip, n_card, n_phone, base, spans), a row per row of docs.
 
     base and spans are arrays of (kind, start, end): base holds the four patterns' spans by kind and start,
-    spans those and the disclosing terms' outside of them. A null text has none. own is a hash of the text.
+    spans those and the disclosing terms' outside of them. A null text has none; rows without doc_id and rows that
+    repeat are documents of their own; an empty table gives no rows. own is a hash of the text.
     """
     found = base_spans(docs)
     named = lambda k: F.transform(k, lambda s: F.struct(F.lit(k).alias("kind"), s["start"], s["end"]))
@@ -145,14 +164,23 @@ def spans(docs: DataFrame) -> DataFrame:
     found = found.select("doc_id", "own", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.concat(*[named(k) for k in KINDS]).alias("base"), F.when(some, F.col("text")).alias("text"), F.when(some, entities).alias("entities"))
     found = common.written(found.withColumn("row", F.monotonically_increasing_id()), "spans")
     contexts = common.written(found.where("text IS NOT NULL").select("row", "text", "entities"), "contexts")
-    told = common.written(disclosing(docs, contexts).select("entity", "term"), "disclosing")
+    told = common.written(disclosing(docs, contexts).select("entity", "term", "n_both", "n_term"), "disclosing")
     holds = contexts.select("row", F.explode("entities").alias("entity"))
     marked = contexts.select("row", F.explode(_terms("text")).alias("term")).join(told, "term").join(holds, ["row", "entity"], "left_semi").select("row", "term").distinct()
     placed = _placed(contexts).join(marked, ["row", "term"], "left_semi")
-    terms = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms"))
+    terms = placed.groupBy("row").agg(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "end")).alias("terms"))
     both = found.drop("text", "entities").join(common.written(terms, "terms"), "row", "left")
-    free = F.filter("terms", lambda t: ~F.exists("base", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
-    return both.select("doc_id", "own", *[f"n_{k}" for k in KINDS], "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.concat("base", free)).alias("spans"))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    wide = told.where((F.col("n_both") >= MIN_BOTH) & (F.col("n_term") > F.col("n_both"))).select("term").distinct()
+    if wide.isEmpty():
+        both = both.withColumn("elsewhere", none)
+    else:
+        more = common.written(_elsewhere(docs, wide), "more")
+        both = both.join(more, F.col("doc_id").eqNullSafe(F.col("e_id")) & (F.col("own") == F.col("e_own")), "left")
+    every = F.array_sort(F.array_union(F.coalesce("terms", none), F.coalesce("elsewhere", none)))
+    free = F.filter(every, lambda t: ~F.exists("base", lambda x: (x["start"] < t["end"]) & (t["start"] < x["end"])))
+    alone = F.col("terms").isNull() & (F.size(F.coalesce("elsewhere", none)) == 0)
+    return both.select("doc_id", "own", *[f"n_{k}" for k in KINDS], "base", F.when(alone, F.col("base")).otherwise(F.concat("base", free)).alias("spans"))
 
 
 def joined(array: str) -> Column:
@@ -160,11 +188,15 @@ def joined(array: str) -> Column:
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with each span's text replaced by its kind, as [EMAIL]; spans that overlap become one. n_chars follows."""
-    found = spans(docs).where(F.size("spans") > 0).dropDuplicates(["doc_id", "own"])
-    found = found.select(F.col("doc_id").alias("_d"), F.col("own").alias("_o"), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias("_spans"))
-    keyed = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = keyed.join(found, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_own") == F.col("_o")), "left")
+    """docs with each span's text replaced by its kind, as [EMAIL]; spans that overlap become one. n_chars follows.
+
+    Null texts stay null; rows without doc_id and rows that repeat are kept; columns are those of docs.
+    """
+    own, f_id, f_own, f_spans, f_text = common.unused(docs, "hash", "f_id", "f_hash", "f_spans", "f_text")
+    found = spans(docs).where(F.size("spans") > 0).groupBy("doc_id", "own").agg(F.any_value("spans").alias("spans"))
+    found = found.select(F.col("doc_id").alias(f_id), F.col("own").alias(f_own), F.array_sort(F.transform("spans", lambda s: F.struct(s["start"], s["end"], s["kind"]))).alias(f_spans))
+    keyed = docs.select(*common.columns(docs), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(own))
+    both = keyed.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(f_id)) & (F.col(own) == F.col(f_own)), "left")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc, s):
@@ -172,14 +204,16 @@ def sanitise(docs: DataFrame) -> DataFrame:
         tag = F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, tag).alias("out"))
 
-    clean = F.aggregate("_spans", zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)
-    out = both.withColumn("text", text)
+    clean = F.aggregate(f_spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    both = both.withColumn(f_text, F.when(F.col(f_spans).isNull(), F.col("text")).otherwise(clean))
+    new = {"text": F.col(f_text)}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        kind = dict(docs.dtypes)["n_chars"]
+        new["n_chars"] = F.when(F.col(f_spans).isNull(), F.col("n_chars")).otherwise(F.length(f_text).cast(kind))
+    return both.select(*[new[c].alias(c) if c in new else x for c, x in zip(docs.columns, common.columns(docs))])
 
 
 def op10_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans, a row per row of documents (see spans)."""
     out = spans(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", *[f"n_{k}" for k in KINDS], F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))

@@ -103,9 +103,14 @@ def references(docs: DataFrame) -> tuple[dict, dict]:
             words.setdefault(f"\0{lang}", Counter())[k] = n
         yield from drain()
 
-    counts = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(count, "lang string, word binary, n long").where("word <> X''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    counts = docs.select(lang.alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(count, "lang string, word binary, n long").where("word <> X''").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    rows = counts.withColumn("_k", F.row_number().over(top)).where(F.col("_k") <= COMMON_WORDS).collect()
+    # a language below MIN_REFERENCE_WORDS has no reference: nothing of it comes to the driver
+    counts = common.written(counts, "words")
+    big = counts.where(F.col("lang").startswith("\0") & (F.col("word") == F.lit(b"8")) & (F.col("n") >= MIN_REFERENCE_WORDS)).select(F.expr("substring(lang, 2)").alias("big"))
+    own = F.when(F.col("lang").startswith("\0"), F.expr("substring(lang, 2)")).otherwise(F.col("lang"))
+    rows = counts.join(big, own == F.col("big"), "left_semi").withColumn("_k", F.row_number().over(top)).where(F.col("_k") <= COMMON_WORDS).collect()
     words: dict[str, dict[bytes, int]] = {}
     chars: dict[str, np.ndarray] = {}
     for r in rows:
@@ -121,7 +126,8 @@ def score(docs: DataFrame) -> DataFrame:
 
     A null text has no words, so it fails the base rule; a null language is a language of its own; a language
     with fewer than MIN_REFERENCE_WORDS words has no reference, and its histograms aren't judged. Columns of docs
-    that bear one of these names are replaced. Repeated rows are each judged.
+    that bear one of these names are replaced. Repeated rows are each judged, as are rows without doc_id; without a
+    column lang all texts are of the null language; an empty table gives no rows. Words of equal count rank by their bytes.
     """
     words, chars = references(docs)
 
@@ -135,12 +141,12 @@ def score(docs: DataFrame) -> DataFrame:
     known = {lang: reference(lang) for lang in [None, *chars]}
     new = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "base_failed": pa.bool_(), "char_distance": pa.float64(), "word_distance": pa.float64(), "kept": pa.bool_()}
     names = [c for c in docs.columns if c not in new]
-    at_text, at_lang = names.index("text"), names.index("lang")
+    at_text, at_lang = names.index("text"), names.index("lang") if "lang" in names else None
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for lang, data in zip(batch.column(at_lang).to_pylist(), common.text_bytes(batch.column(at_text))):
+            for lang, data in zip([None] * batch.num_rows if at_lang is None else batch.column(at_lang).cast(pa.string()).to_pylist(), common.text_bytes(batch.column(at_text))):
                 own, n_chars, symbols, dup, repeated = base_counts(data)
                 n = len(own)
                 failed = n < MIN_WORDS or 100 * repeated > MAX_REPEAT_PERCENT * n
@@ -160,10 +166,20 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), *(pa.array(list(x), k) for x, k in zip(columns, new.values()))], [*names, *new])
 
     kinds = {"int64": "long", "bool": "boolean", "double": "double"}
-    schema = ", ".join([f"`{n}` {t}" for n, t in docs.select(*[F.col(f"`{c}`") for c in names]).dtypes] + [f"{n} {kinds[str(t)]}" for n, t in new.items()])
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(judge, schema)
+    rest = docs.select(*[x for c, x in zip(docs.columns, common.columns(docs)) if c not in new])
+    schema = ", ".join([f"`{n.replace('`', '``')}` {t}" for n, t in rest.dtypes] + [f"{n} {kinds[str(t)]}" for n, t in new.items()])
+    return rest.mapInArrow(judge, schema)
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with their own columns, whatever these are called."""
+    names = [c if c in ("text", "lang") else f"own_{k}" for k, c in enumerate(docs.columns)]
+    own = docs.select(*[c.alias(n) for c, n in zip(common.columns(docs), names)])
+    out = score(own).where("kept").select(*common.columns(own))
+    return out.select(*[c.alias(n) for c, n in zip(common.columns(out), docs.columns)])
 
 
 def op6_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns and both distances, a row per row of documents (see score)."""
     out = score(common.table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")

@@ -6,11 +6,17 @@ is enough to sort the suffixes at anchors (about one byte in sixteen). The passe
 1. First digit: anchors are dealt by the hash of their GRAM bytes. Groups of one stop here.
 2. Deeper digit, all that any window around the anchor can hold: suffixes equal in it form a class, and all
    but the class's smallest document repeat every window around the anchor.
-3. Groups of several classes: one suffix a class is sorted by each window around the anchor in turn. Equal
-   groups are exactly the repeated windows; the answer is a bit per window. Groups of over LARGE classes are
-   split by window, each then a key of its own, whose smallest document is found by an aggregate.
+3. Groups of several classes: the bytes of one suffix a class come to a task, which sorts the suffixes from the
+   anchor on by digits of 8 bytes, the most significant first, only as deep as a window reaches and only where
+   several are still equal; and likewise, backwards, the bytes before the anchor. A window around the anchor is
+   equal in two suffixes where they share enough bytes in both orders, so equal groups are exactly the repeated
+   windows; the answer is a bit per window. Groups of over LARGE classes are split by window, each then a key of
+   its own (128 bits of hash), whose smallest document is found by an aggregate.
 
 The answers go back to the documents, where the covered bytes are removed. Windows are compared on the input.
+Passes 1 and 2 compare hashes of 64 bits for the suffixes of one anchor: of n of them two different ones are
+taken for equal with a chance below n * n / 2**65. All suffixes, in place of those at anchors, would be some sixteen
+times the rows, far above the disk that a run may use.
 """
 
 from __future__ import annotations
@@ -219,11 +225,40 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _rows("h c doc l r bytes", h[a:b][k[there]], own.context[there], doc[lo:hi][own.text[there]], own.left[there], own.right[there], raw)
 
 
-def _window_keys(h: np.ndarray, span: np.ndarray, own: np.ndarray, a: int) -> np.ndarray:
-    """Hashes of the windows from a bytes before the anchor, of the rows own."""
-    key, at = h[own].view(np.uint64) * _M[1], REACH - a
+def ordered(group: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows by group (ascending already) and then bytes, and how many bytes each shares with the row before; -1 where a group begins.
+
+    Digits are 8 bytes, the most significant first; a pass takes only rows that are equal to another so far.
+    """
+    n, m = data.shape
+    wide = np.zeros((n, -(-m // 8) * 8), dtype=np.uint8)
+    wide[:, :m] = data
+    digits = wide.view(">u8").astype(np.uint64)
+    order, start = np.arange(n), np.concatenate([[True], group[1:] != group[:-1]])[:n]
+    for digit in digits.T:
+        run = np.cumsum(start) - 1
+        several = np.nonzero(np.bincount(run)[run] > 1)[0] if n else order
+        if not len(several):
+            break
+        own, of = digit[order[several]], run[several]
+        by = np.lexsort((own, of))
+        order[several], own = order[several[by]], own[by]
+        new = np.ones(len(by), dtype=bool)
+        new[1:] = (of[1:] != of[:-1]) | (own[1:] != own[:-1])
+        start[several] = new
+    shared = np.full(n, -1, dtype=np.int64)
+    if n > 1:
+        differ = wide[order[1:], :m] != wide[order[:-1], :m]
+        shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), m)
+        shared[1:][group[order[1:]] != group[order[:-1]]] = -1
+    return order, shared
+
+
+def _window_keys(h: np.ndarray, span: np.ndarray, own: np.ndarray, a: int, by: int) -> np.ndarray:
+    """Hashes of the windows from a bytes before the anchor, of the rows own; by gives independent ones."""
+    key, at = h[own].view(np.uint64) * _M[1] ^ _M[by], REACH - a
     for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
-        key ^= np.ascontiguousarray(span[own, at + k : at + k + 8]).view("<u8")[:, 0] * _M[k // 8 % 3]
+        key ^= np.ascontiguousarray(span[own, at + k : at + k + 8]).view("<u8")[:, 0] * _M[(k // 8 + by) % 3]
         key = _finish(key)
     return key
 
@@ -232,12 +267,18 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Reads (h, c, doc, l, r, bytes) by h and doc; gives (doc, c, mask): bit a is set if the window from a bytes before the anchor occurs in a smaller document."""
 
     def judge(h, c, doc, left, right, span):
-        mask = np.zeros(len(h), dtype=np.int64)
+        n = len(h)
+        anchor = np.cumsum(np.concatenate([[0], h[1:] != h[:-1]]))
+        after, shared_after = ordered(anchor, span[:, REACH:])
+        before, shared_before = ordered(anchor, span[:, REACH - 1 :: -1])
+        mask, run_after, run_before = np.zeros(n, dtype=np.int64), np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
         for a in range(REACH + 1):
             own = np.nonzero((left >= a) & (right >= WINDOW - a))[0]
             if len(own) < 2:
                 continue
-            key = _window_keys(h, span, own, a)
+            run_after[after] = np.cumsum(shared_after < WINDOW - a)
+            run_before[before] = np.cumsum(shared_before < a)
+            key = run_after[own] * (n + 1) + run_before[own]
             order = np.argsort(key, kind="stable")  # rows come by document, so a run begins with the smallest
             run = np.concatenate([[True], key[order][1:] != key[order][:-1]])
             least = doc[own][order][np.nonzero(run)[0]][np.cumsum(run) - 1]
@@ -262,7 +303,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (h, c, doc, l, r, bytes); gives (w, doc, c, bit), a row per window around the anchor, w being a hash of anchor, place and bytes."""
+    """Reads (h, c, doc, l, r, bytes); gives (w, v, doc, c, bit), a row per window around the anchor, w and v being hashes of anchor, place and bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -271,8 +312,8 @@ def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a in range(REACH + 1):
             own = np.nonzero((left >= a) & (right >= WINDOW - a))[0]
             if len(own):
-                key = _finish(_window_keys(h, span, own, a) ^ np.uint64(a) * _M[0])
-                yield _rows("w doc c bit", key.view(np.int64), doc[own], c[own], np.full(len(own), 1 << a, np.int64))
+                key, more = (_finish(_window_keys(h, span, own, a, by) ^ np.uint64(a) * _M[0]) for by in (0, 1))
+                yield _rows("w v doc c bit", key.view(np.int64), more.view(np.int64), doc[own], c[own], np.full(len(own), 1 << a, np.int64))
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,18 +352,21 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _split_masks(contexts: DataFrame) -> DataFrame:
     """(doc, c, mask) as _windows gives it, by aggregates, so that no task holds an anchor or a window."""
-    each = common.written(contexts.mapInArrow(_each_window, "w long, doc long, c long, bit long"), "each")
-    least = each.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "least")
-    return each.join(least, "w").where("doc > least").groupBy("doc", "c").agg(F.bit_or("bit").alias("mask"))
+    each = common.written(contexts.mapInArrow(_each_window, "w long, v long, doc long, c long, bit long"), "each")
+    least = each.groupBy("w", "v").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("w", "v", "least")
+    return each.join(least, ["w", "v"]).where("doc > least").groupBy("doc", "c").agg(F.bit_or("bit").alias("mask"))
 
 
 def remove_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each document without the bytes under a window that a smaller doc_id also has.
 
     A null text is empty; texts shorter than the window stay whole. A row without doc_id comes after all
-    others, and rows that repeat a doc_id aren't smaller than each other.
+    others, and rows that repeat a doc_id aren't smaller than each other. An empty table gives no rows; columns other
+    than doc_id and text are left out. The identifier 2**63 - 1 stands for none inside and is refused.
     """
     spark = docs.sparkSession
+    if not docs.where(F.col("doc_id") == F.lit(NO_ID)).isEmpty():
+        raise ValueError(f"doc_id {NO_ID} isn't supported")
     keyed = _keyed(docs)
     packed = keyed.mapInArrow(_packed, "doc long, text binary")
     anchors = keyed.mapInArrow(_anchor_rows, "h long, c long, doc long")
@@ -348,5 +392,6 @@ def remove_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256, a row per row of documents (see remove_repeats)."""
     out = remove_repeats(common.table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
