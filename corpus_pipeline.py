@@ -3,39 +3,39 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from spherix.llm import common, decontam, packing, pii, quality, simhash
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
-    return quality.score(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents that the quality rules keep: null and short texts go, rows that repeat are judged each."""
+    return quality.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
+    """One document of each group of near-duplicates, that with the smallest doc_id, any one if none has one; of rows that repeat it, one."""
     return simhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Documents without a benchmark window; null texts and rows without doc_id stay."""
     return decontam.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and what discloses it replaced by its kind."""
+    """All documents, with personal data and what discloses it replaced by its kind; null texts stay null."""
     return pii.sanitise(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in sequences of 2048 tokens."""
+    """The pieces of the documents with their places in sequences of 2048 tokens; a null text is one end token."""
     return packing.pack(docs)
 
 
 STAGES = [("quality", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", personal_data), ("packing", pack)]
 
-#: Fingerprints, disclosure and packing aren't for SQL; tests/llm holds the stages against brute force.
+#: Fingerprints, disclosure and packing aren't for SQL; tests/llm/test_pipeline.py holds each stage against plain Python.
+#: An empty table gives no rows at each stage; further columns, whatever their names, go through all but the last.
 ORACLE_SQL = None
 
 
