@@ -44,6 +44,11 @@ def apply(df: DataFrame, layers: Layers) -> DataFrame:
     size: dict[str, int] = {}
     given = set(df.columns)
     scratch = [n for layer in layers for n in layer if n.startswith("_")]
+    # a column of the user's that is called like a scratch one steps aside, unless the layers read it
+    kept = {c: f"{c}__{len(given)}" for c in df.columns if c in scratch}
+    if kept:
+        out = apply(df.withColumnsRenamed(kept), layers)
+        return out.withColumnsRenamed({new: c for c, new in kept.items()})
     for layer in layers:
         own = {n: sum(size.get(w, 1) for w in _WORD.findall(e)) for n, e in layer.items()}
         # a scratch column may be used anew; it then replaces the one before
@@ -213,6 +218,49 @@ def from_zuniq(z: str = "zuniq", depth: str = "order_", h: str = "ipix") -> Laye
     return [{"_tz": f"bit_count((({z}) & (-({z}))) - 1)"}, {depth: f"{MAX_DEPTH} - (CAST(_tz AS INT) >> 1)", h: f"({z}) >> (CAST(_tz AS INT) + 1)"}]
 
 
+def from_uniq(u: str = "uniq", depth: str = "order_", h: str = "ipix") -> Layers:
+    """Order and cell of a uniq: its sentinel bit is the highest, found by its logarithm and put right by a step."""
+    return _from_sentinel(u, 4, depth, h)
+
+
+def from_uniq_ivoa(u: str = "uniq_ivoa", depth: str = "order_", h: str = "ipix") -> Layers:
+    return _from_sentinel(u, 2, depth, h)
+
+
+def _from_sentinel(u: str, shift: int, depth: str, h: str) -> Layers:
+    bits = big(f"floor(ln(CAST({u} AS DOUBLE)) / ln(2.0) / 2.0 + 1e-9)")
+    return [
+        {"_ub": bits},
+        {"_uc": f"CASE WHEN ({u}) >> CAST(2 * _ub AS INT) >= 4 THEN _ub + 1 WHEN ({u}) >> CAST(2 * _ub AS INT) = 0 THEN _ub - 1 ELSE _ub END"},
+        {depth: f"CAST(_uc - {shift // 2} AS INT)", h: f"({u}) - ({big(str(1 << shift))} << CAST(2 * (_uc - {shift // 2}) AS INT))"},
+    ]
+
+
+def siblings(depth: int, h: str = "ipix") -> dict[str, str]:
+    """First and last cell with the same parent; the base cells are siblings."""
+    return {"first": f"({h}) - ({h}) % 4", "last": f"({h}) - ({h}) % 4 + 3"} if depth else {"first": big("0"), "last": big("11")}
+
+
+def masks(depth: int) -> dict[str, int]:
+    """Bits of the x axis, of the y axis and of both in a cell's number."""
+    x = sum(1 << 2 * k for k in range(depth))
+    return {"x_mask": x, "y_mask": x << 1, "xy_mask": x | x << 1}
+
+
+def overlap(z1: str, z2: str) -> str:
+    """Whether the cells of two ZUNIQ codes overlap: half-open ranges of depth 29 meet."""
+    half = lambda z: f"(({z}) & (-({z})))"
+    return f"(({z1}) - {half(z1)} < ({z2}) + {half(z2)} AND ({z2}) - {half(z2)} < ({z1}) + {half(z1)})"
+
+
+def is_depth(d: str) -> str:
+    return f"({d}) BETWEEN 0 AND {MAX_DEPTH}"
+
+
+def is_nside(n: str) -> str:
+    return f"(({n}) > 0 AND ({n}) <= {1 << MAX_DEPTH} AND (({n}) & (({n}) - 1)) = 0)"
+
+
 def parent(h: str, delta: int = 1) -> str:
     return f"(({h}) >> {2 * delta})"
 
@@ -298,6 +346,44 @@ def neighbours(depth: int, h: str = "ipix") -> Layers:
     return [*decode(depth, h), *side_by_side(*[step_to(depth, str(x), str(y), f"n_{d.lower()}") for d, (x, y) in DIRECTIONS.items()])]
 
 
+def offsets(depth: int, steps: list[tuple[int, int]], h: str = "ipix", prefix: str = "k") -> Layers:
+    """Columns k0, k1 ..: the cells that many steps away; NULL where there is none. A step is at most a base cell long."""
+    if any(max(abs(x), abs(y)) > nside(depth) for x, y in steps):
+        raise ValueError(f"a step is longer than a base cell of depth {depth}")
+    return [*decode(depth, h), *side_by_side(*[step_to(depth, str(x), str(y), f"{prefix}{i}") for i, (x, y) in enumerate(steps)])]
+
+
+def ring_steps(k: int) -> list[tuple[int, int]]:
+    """Steps to the k-th ring around a cell, anticlockwise from the south."""
+    if not k:
+        return [(0, 0)]
+    side = range(-k, k)
+    return [*[(x, -k) for x in side], *[(k, y) for y in side], *[(-x, k) for x in side], *[(-k, -y) for y in side]]
+
+
+def kth_neighbours(depth: int, k: int, h: str = "ipix") -> Layers:
+    """Columns k0 .. of the 8 k cells of the k-th ring, k at most nside."""
+    return offsets(depth, ring_steps(k), h)
+
+
+def kth_neighbourhood(depth: int, k: int, h: str = "ipix") -> Layers:
+    """Columns k0 .. of the cell and its rings 1 to k."""
+    return offsets(depth, [s for j in range(k + 1) for s in ring_steps(j)], h)
+
+
+def external_edge(depth: int, delta: int, h: str = "ipix") -> Layers:
+    """Columns x0 .. of the cells at depth + delta that surround a cell, anticlockwise from the southern corner."""
+    n = 1 << delta
+    steps = [*[(x, -1) for x in range(-1, n)], *[(n, y) for y in range(-1, n)], *[(x, n) for x in range(n, -1, -1)], *[(-1, y) for y in range(n, -1, -1)]]
+    return [{"_first": first_child(h, delta)}, *offsets(depth + delta, steps, "_first", "x")]
+
+
+def internal_edge_sorted(depth: int, delta: int, h: str = "ipix") -> list[str]:
+    """internal_edge in ascending order: literal places in one block of children sort as they are."""
+    n, base = 1 << delta, first_child(h, delta)
+    return [f"({base} | {m})" for m in sorted(morton(x, y) for x in range(n) for y in range(n) if x in (0, n - 1) or y in (0, n - 1))]
+
+
 def internal_edge(depth: int, delta: int, h: str = "ipix") -> list[str]:
     """Numbers at depth + delta of the cells inside the border, anticlockwise from the south: literal places, so four integers a step."""
     n, base = 1 << delta, first_child(h, delta)

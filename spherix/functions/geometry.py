@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from spherix.functions import cells
 from spherix.functions.cells import Layers, big
 
@@ -23,6 +25,12 @@ def best_depth(radius: str) -> str:
     return f"CASE WHEN {radius} IS NOT NULL THEN greatest(0, {' + '.join(f'CAST(radians({radius}) < {d!r} AS INT)' for d in OPPOSITE_EDGES)} - 1) END"
 
 
+def best_starting_depth(radius: float) -> int | None:
+    """best_depth of a number; None where not even depth 0 will do."""
+    n = sum(math.radians(radius) < d for d in OPPOSITE_EDGES)
+    return n - 1 if n else None
+
+
 def depth_of_nside(nside: str) -> str:
     """NULL for what isn't a power of two."""
     return f"CASE WHEN {nside} > 0 AND ({nside} & ({nside} - 1)) = 0 THEN CAST(bit_count({nside} - 1) AS INT) END"
@@ -136,3 +144,129 @@ def sin_unproject(lon0: float, lat0: float, x: str = "x", y: str = "y", lon: str
         {"_sl": f"degrees(atan2({x}, _sz * cos(_s0) - {y} * sin(_s0))) + ({lon0!r})", lat: f"degrees(asin(least(greatest(_sz * sin(_s0) + {y} * cos(_s0), -1.0), 1.0)))"},
         {lon: "_sl - 360.0 * floor(_sl / 360.0)"},
     ]
+
+
+# Frames by Euler angles, the frame around a position, regions of the plane
+
+
+def matrix_z(angle: float) -> list[list[float]]:
+    """Rotation around the third axis by degrees."""
+    c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+    return [[c, -s, 0.0], [s, c, 0.0], [0.0, 0.0, 1.0]]
+
+
+def matrix_y(angle: float) -> list[list[float]]:
+    c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+    return [[c, 0.0, s], [0.0, 1.0, 0.0], [-s, 0.0, c]]
+
+
+def matrix_x(angle: float) -> list[list[float]]:
+    c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+    return [[1.0, 0.0, 0.0], [0.0, c, -s], [0.0, s, c]]
+
+
+def product(a, b) -> list[list[float]]:
+    return [[sum(a[i][k] * b[k][j] for k in range(3)) for j in range(3)] for i in range(3)]
+
+
+def transposed(a) -> list[list[float]]:
+    return [list(row) for row in zip(*a)]
+
+
+def euler_zyz(z1: float, y2: float, z3: float) -> list[list[float]]:
+    return product(matrix_z(z1), product(matrix_y(y2), matrix_z(z3)))
+
+
+#: Longitude of the galactic north pole, its distance from the pole and the position of the centre, in degrees, of two equatorial frames.
+GALACTIC_ANGLES = {"fk4": (192.25, 62.6, 57.0), "fk5": (192.85948, 62.87175, 57.06808)}
+
+
+def galactic(frame: str) -> list[list[float]]:
+    """Rows of the rotation from an equatorial frame, fk4 (B1950) or fk5 (J2000), to galactic coordinates."""
+    return transposed(euler_zyz(*GALACTIC_ANGLES[frame]))
+
+
+def local_frame(lon: float, lat: float) -> list[list[float]]:
+    """Rows of the rotation into the frame in which a position, in degrees, is (1, 0, 0)."""
+    return transposed(product(matrix_z(lon), matrix_y(-lat)))
+
+
+def is_equatorial(lat: str) -> str:
+    """Whether a latitude in degrees is in the equatorial region, its border with it."""
+    return f"abs(radians({lat})) <= {cells.TRANSITION!r}"
+
+
+def is_projected_equatorial(y: str) -> str:
+    return f"abs({y}) <= 1.0"
+
+
+def unit(expr: str, name: str) -> str:
+    """An angle in deg, arcmin, arcsec or rad as degrees."""
+    return {"deg": f"({expr})", "arcmin": f"(({expr}) / 60.0)", "arcsec": f"(({expr}) / 3600.0)", "rad": f"degrees({expr})"}[name]
+
+
+# Ellipses of the plane: (sxx, syy, sxy), the covariance whose unit distance is the border
+
+
+def ellipse_of_axes(a: float, b: float, pa: float) -> tuple[float, float, float]:
+    """Half axes and the position angle (degrees) of the first from the y axis towards x."""
+    s, c = math.sin(math.radians(pa)), math.cos(math.radians(pa))
+    return a * a * s * s + b * b * c * c, a * a * c * c + b * b * s * s, (a * a - b * b) * s * c
+
+
+def ellipse_of_correlation(sx: float, sy: float, rho: float) -> tuple[float, float, float]:
+    return sx * sx, sy * sy, rho * sx * sy
+
+
+def axes_of_ellipse(sxx: float, syy: float, sxy: float) -> tuple[float, float, float]:
+    """(a, b, pa) of a covariance."""
+    mean, half = (sxx + syy) / 2, math.hypot((sxx - syy) / 2, sxy)
+    return math.sqrt(mean + half), math.sqrt(max(mean - half, 0.0)), math.degrees(0.5 * math.atan2(2 * sxy, syy - sxx)) % 180.0
+
+
+def mahalanobis(ellipse: tuple[float, float, float], x: str = "x", y: str = "y") -> str:
+    """Squared distance of a point from the centre in units of the ellipse: 1 on the border."""
+    sxx, syy, sxy = ellipse
+    det = sxx * syy - sxy * sxy
+    return f"(({x}) * ({x}) * {syy / det!r} - 2.0 * ({x}) * ({y}) * {sxy / det!r} + ({y}) * ({y}) * {sxx / det!r})"
+
+
+def ellipses_overlap(one: tuple[float, float, float], two: tuple[float, float, float], x: str = "x", y: str = "y") -> str:
+    """Whether an ellipse around (x, y) may overlap one around the origin: their covariances add up, a test without false refusals."""
+    return f"(sqrt({mahalanobis(tuple((math.sqrt(p) + math.sqrt(q)) ** 2 if k < 2 else p + q for k, (p, q) in enumerate(zip(one, two))), x, y)}) <= 1.0)" if one[2] == two[2] == 0 else f"({x} * {x} + {y} * {y} <= {(axes_of_ellipse(*one)[0] + axes_of_ellipse(*two)[0]) ** 2!r})"
+
+
+def ellipse_path(ellipse: tuple[float, float, float], points: int, k: str = "k") -> Layers:
+    """(x, y): the k-th of points on the border, by equal angles of the circle that it is stretched from."""
+    a, b, pa = axes_of_ellipse(*ellipse)
+    s, c = math.sin(math.radians(pa)), math.cos(math.radians(pa))
+    return [{"_et": f"2.0 * pi() * {k} / {float(points)!r}"}, {"_eu": f"{a!r} * cos(_et)", "_ev": f"{b!r} * sin(_et)"}, {"x": f"_eu * {s!r} + _ev * {c!r}", "y": f"_eu * {c!r} - _ev * {s!r}"}]
+
+
+def forced_sin(lon0: float, lat0: float, lon: str = "lon", lat: str = "lat", x: str = "x", y: str = "y", distance: str = "distance") -> Layers:
+    """Orthographic plane of all sky, the far half too, with the angular distance in degrees."""
+    return [
+        {"_sd": f"radians({lon} - ({lon0!r}))", "_sl": f"radians({lat})", "_s0": f"radians({lat0!r})"},
+        {x: "cos(_sl) * sin(_sd)", y: "sin(_sl) * cos(_s0) - cos(_sl) * sin(_s0) * cos(_sd)", distance: "degrees(2.0 * asin(least(1.0, sqrt(pow(sin((_sl - _s0) / 2.0), 2) + cos(_sl) * cos(_s0) * pow(sin(_sd / 2.0), 2)))))"},
+    ]
+
+
+# Single precision
+
+
+def project_float(lon: str, lat: str, x: str = "x", y: str = "y") -> Layers:
+    """cells.project with every step in FLOAT."""
+    f = lambda e: f"CAST({e} AS FLOAT)"
+    return [
+        {"_fl": f(f"radians({f(lat)})"), "_fa": f(f"abs({f(lon)}) / CAST(45 AS FLOAT)")},
+        {"_fs": f(f"{f('sqrt(6.0)')} * {f('cos(abs(_fl) / 2.0 + pi() / 4.0)')}"), "_fc": f("2.0 * least(floor(_fa / 2.0), 3.0) + 1.0")},
+        {
+            x: f(f"(CASE WHEN {lon} < 0 THEN -1.0 ELSE 1.0 END) * (CASE WHEN abs(_fl) <= {cells.TRANSITION!r} THEN _fa ELSE _fc + (_fa - _fc) * _fs END)"),
+            y: f(f"CASE WHEN abs(_fl) <= {cells.TRANSITION!r} THEN 1.5 * sin(_fl) WHEN _fl > 0 THEN 2.0 - _fs ELSE _fs - 2.0 END"),
+        },
+    ]
+
+
+def largest_radius(depth: int) -> float:
+    """An upper bound, in degrees, of the distance from any cell's centre of a depth to its corners: that of the cells at the poles and transition, by a margin."""
+    return math.degrees(1.2 * math.sqrt(math.pi / 3) / (1 << depth))

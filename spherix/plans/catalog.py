@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spherix import storage
 from spherix.functions import cells as C
 from spherix.functions import geometry as G
 from spherix.functions import ring as R
@@ -155,7 +156,7 @@ for _name, _cells in {
     "ellipse_cover": V.cover(V.ellipse(100.0, -40.0, 15.0, 5.0, 30.0), 4, 3),
     "box_cover": V.cover(V.box(100.0, -40.0, 10.0, 4.0, 30.0), 4, 3),
 }.items():
-    add(_name, lambda s, d, c=_cells: V.to_df(s, c), f"SELECT * FROM (VALUES {', '.join(f'(CAST({o} AS INT), CAST({x} AS BIGINT), {f})' for o, x, f in _cells)}) AS t(order_, ipix, is_full)" if _name in ("ring_cover", "cone_cover_centres") else None)
+    add(_name, lambda s, d, c=_cells: V.to_df(s, c))
 
 
 def moc(s, d, src, depth=4):
@@ -267,7 +268,7 @@ _MOM3 = _MOM2.replace(count_sql(4), _EVENT_COUNTS)
 _CUT = lambda m: f"(SELECT (m.ipix << (2 * (4 - m.order_))) + k AS cell, m.value, m.order_ FROM ({m}) AS m, (SELECT range AS k FROM range(256)) AS n WHERE k < (1 << (2 * (4 - m.order_))))"
 add(
     "mom_refine",
-    lambda s, d: M.refine(tables.held(chi2_mom(s, d)), tables.held(threshold_mom(s, d)), 4).select(F.explode(F.expr("sequence(shiftleft(ipix, 2 * (4 - order_)), shiftleft(ipix + 1, 2 * (4 - order_)) - 1)")).alias("ipix"), "l", "l_order", "r", "r_order"),
+    lambda s, d: M.refine(storage.held(chi2_mom(s, d)), storage.held(threshold_mom(s, d)), 4).select(F.explode(F.expr("sequence(shiftleft(ipix, 2 * (4 - order_)), shiftleft(ipix + 1, 2 * (4 - order_)) - 1)")).alias("ipix"), "l", "l_order", "r", "r_order"),
     f"SELECT CAST(coalesce(a.cell, b.cell) AS BIGINT) AS ipix, a.value AS l, CAST(a.order_ AS INT) AS l_order, b.value AS r, CAST(b.order_ AS INT) AS r_order FROM {_CUT(_MOM)} AS a FULL JOIN {_CUT(_MOM3)} AS b ON a.cell = b.cell",
 )
 _HOLDS = "CASE WHEN c.order_ >= m.order_ THEN (c.ipix >> (2 * (c.order_ - m.order_))) = m.ipix ELSE (m.ipix >> (2 * (m.order_ - c.order_))) = c.ipix END"
@@ -307,7 +308,7 @@ for _p in ("mol", "car"):
     add(f"skymap_pixels_{_p}", lambda s, d, p=_p: P.image(P.pixels(s, 64, 32, p), sky_counts(s, d, 4), 4), f"SELECT px, py, value FROM ({_pix}) AS p LEFT JOIN {count_sql(4)} AS c ON p.ipix = c.ipix")
 add("mom_pixels", lambda s, d: P.image(P.pixels(s, 64, 32, "car"), chi2_mom(s, d), 4, multi_order=True), f"SELECT px, py, m.value FROM ({_pix}) AS p LEFT JOIN ({_MOM}) AS m ON (p.ipix >> (2 * (4 - m.order_))) = m.ipix")
 add("mom_file", lambda s, d: tables.round_trip(chi2_mom(s, d), lambda m, p: tables.write_mom(m, p, 4), lambda p: tables.read_mom(s, p, "long")), f"SELECT CAST(order_ AS INT) AS order_, ipix, value FROM ({_MOM}) AS m")
-_RING = V.cover(V.Cone(13.158329, -72.80028, 10.0, 5.64323), 4)
+_ZONE_CELLS = V.cover(V.Zone(0.0, -10.0, 20.0, 10.0), 4)
 for _name, _write, _read in (("cover_file", tables.write_cover, tables.read_cover), ("cover_csv", tables.write_cover_csv, tables.read_cover_csv)):
-    add(_name, lambda s, d, w=_write, r=_read: tables.round_trip(V.to_df(s, _RING), lambda c, p: w(c, p, 4), lambda p: r(s, p)), SQL["ring_cover"])
+    add(_name, lambda s, d, w=_write, r=_read: tables.round_trip(V.to_df(s, _ZONE_CELLS), lambda c, p: w(c, p, 4), lambda p: r(s, p)))
 add("fits_implicit", lambda s, d: sky.round_trip(s, sky_counts(s, d, 5), 5, implicit=True), SQL["count_map_dense"])

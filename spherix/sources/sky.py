@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from spherix import storage
 from spherix.functions import cells
 from spherix.operators import coverage, maps
 
@@ -20,7 +19,7 @@ BLOCK = 2880
 
 
 def _card(key: str, value) -> str:
-    text = "T" if value is True else f"'{value}'" if isinstance(value, str) else str(value)
+    text = "T" if value is True else "F" if value is False else f"'{value}'" if isinstance(value, str) else str(value)
     return f"{key:<8}= {text:>20}".ljust(80) if not isinstance(value, str) else f"{key:<8}= {text:<20}".ljust(80)
 
 
@@ -89,12 +88,9 @@ def decode_map(data: bytes) -> tuple[dict[str, str], np.ndarray, np.ndarray]:
 
 
 def write_map(skymap: DataFrame, path: str, depth: int, implicit: bool = False) -> None:
-    """skymap (ipix, value) as FITS part files, each a table of a range of cells, by Spark's own writer.
+    """skymap (ipix, value) as FITS files, each a table of a range of cells.
 
     With implicit, values alone, for every cell; a cell that the map lacks is 0.
-
-    The text writer ends a row with a line end; a file has one row, and readers of FITS pass over what
-    follows the last block.
     """
     integer = dict(skymap.dtypes)["value"] in ("tinyint", "smallint", "int", "bigint")
 
@@ -109,7 +105,7 @@ def write_map(skymap: DataFrame, path: str, depth: int, implicit: bool = False)
         skymap = maps.dense(skymap, depth)
     value = F.col("value").cast("long" if integer else "double")
     sorted_ = skymap.select("ipix", value.alias("value")).repartitionByRange("ipix").sortWithinPartitions("ipix")
-    sorted_.mapInArrow(encode, "value binary").select(F.expr("CAST(value AS STRING)").alias("value")).write.option("compression", "none").text(path)
+    storage.write_files(sorted_.mapInArrow(encode, "value binary"), path, ".fits")
 
 
 def read_map(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
@@ -124,14 +120,8 @@ def read_map(spark: SparkSession, path: str, kind: str = "double") -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(decode, f"ipix long, value {kind}")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sky-')}"
-    return f"{base.rstrip('/')}/map-{uuid.uuid4().hex}"
-
-
 def round_trip(spark: SparkSession, skymap: DataFrame, depth: int, implicit: bool = False) -> DataFrame:
-    path = scratch(spark)
+    path = storage.scratch(spark)
     write_map(skymap, path, depth, implicit)
     return read_map(spark, path, "long")
 
@@ -163,16 +153,17 @@ def register_sql(spark: SparkSession) -> None:
 
     @pandas_udf("array<double>")
     def hpx_center(depth: pd.Series, cell: pd.Series) -> pd.Series:
-        out = []
-        for d, h in zip(depth, cell):
-            if pd.isna(d) or pd.isna(h):
-                out.append(None)
-                continue
-            if not 0 <= d <= 29 or not 0 <= h < cells.n_hash(int(d)):
-                raise ValueError("depth or cell out of range")
-            x, y, z = coverage.positions(int(d), np.array([int(h)], dtype=np.int64), 0.5, 0.5)[0]
-            out.append([float(np.degrees(np.arctan2(y, x)) % 360), float(np.degrees(np.arctan2(z, np.hypot(x, y))))])
-        return pd.Series(out)
+        ok = depth.notna() & cell.notna()
+        d, h = (x[ok].to_numpy(np.int64) for x in (depth, cell))
+        if ((d < 0) | (d > 29)).any() or (h < 0).any() or (h >= 12 << 2 * d).any():
+            raise ValueError("depth or cell out of range")
+        lonlat = np.empty((len(d), 2))
+        for k in np.unique(d):  # at most 30 depths
+            x, y, z = coverage.positions(int(k), h[d == k], 0.5, 0.5).T
+            lonlat[d == k] = np.stack([np.degrees(np.arctan2(y, x)) % 360, np.degrees(np.arctan2(z, np.hypot(x, y)))], axis=1)
+        out = pd.Series([None] * len(depth), index=depth.index, dtype=object)
+        out[ok] = pd.Series(list(lonlat), index=depth.index[ok], dtype=object)
+        return out
 
     spark.udf.register("hpx_hash", hpx_hash)
     spark.udf.register("hpx_center", hpx_center)

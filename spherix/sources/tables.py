@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spherix import storage
 from spherix.functions import cells
 from spherix.sources import sky
 
@@ -48,7 +49,7 @@ def decode_table(data: bytes) -> tuple[dict[str, str], dict[str, np.ndarray]]:
 
 
 def _write(df: DataFrame, key: str, names: dict[str, str], cards: list[tuple], path: str) -> None:
-    """df's columns as FITS part files, each a range of key, by Spark's own writer (see sky.write_map)."""
+    """df's columns as FITS part files, each a range of key, (see storage.write_files)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -58,7 +59,7 @@ def _write(df: DataFrame, key: str, names: dict[str, str], cards: list[tuple], p
             yield pa.RecordBatch.from_arrays([pa.array([encode_table(columns, cards)], pa.binary())], ["value"])
 
     ranged = df.select(*names).repartitionByRange(key).sortWithinPartitions(key)
-    ranged.mapInArrow(encode, "value binary").select(F.expr("CAST(value AS STRING)").alias("value")).write.option("compression", "none").text(path)
+    storage.write_files(ranged.mapInArrow(encode, "value binary"), path, ".fits")
 
 
 def _read(spark: SparkSession, path: str, names: dict[str, str], schema: str) -> DataFrame:
@@ -117,16 +118,9 @@ def read_cover_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, comment="#", schema="order_ INT, ipix BIGINT, flag INT", enforceSchema=True).select("order_", "ipix", (F.col("flag") == 1).alias("is_full"))
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, for what a program uses several times; lineage ends here."""
-    path = sky.scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def round_trip(df: DataFrame, write, read) -> DataFrame:
     """df written to a new folder in the shared one, and read back."""
-    path = sky.scratch(df.sparkSession)
+    path = storage.scratch(df.sparkSession)
     write(df, path)
     return read(path)
 
