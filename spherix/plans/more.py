@@ -53,7 +53,7 @@ def _edges(s) -> DataFrame:
 
 
 SQL["zone_cover"] = SQL["cover_file"] = SQL["cover_csv"] = SQL["golden_zone"]
-SQL["cone_cover_centres"] = values([("CAST(4 AS INT)", f"CAST({h} AS BIGINT)", "true") for h in (2058, 2059, 2080, 2081, 2082, 2083, 2088)], "order_, ipix, is_full")
+SQL["cone_cover_centres"] = values([(f"CAST({o} AS INT)", f"CAST({h} AS BIGINT)", "true") for o, h in ((4, 2058), (4, 2059), (3, 520), (4, 2088))], "order_, ipix, is_full")
 SQL["cone_cover_inside"] = values([("CAST(4 AS INT)", f"CAST({h} AS BIGINT)", "true") for h in (2081, 2082)], "order_, ipix, is_full")
 SQL["cone_cover"] = values([("CAST(3 AS INT)", f"CAST({h} AS BIGINT)", "false") for h in (514, 515, 520, 521, 522, 705, 708, 709)], "order_, ipix, is_full")
 
@@ -222,12 +222,12 @@ def tree_sql(leaves: str, depth: int, n: int, rule: str) -> str:
 
 
 _LEAVES = f"SELECT a.ipix, CAST(coalesce(c.value, 0) AS BIGINT) AS value FROM {cells_sql(4)} AS a LEFT JOIN {count_sql(4)} AS c ON a.ipix = c.ipix"
-_AS_DOUBLE = [F.col("order_"), F.col("ipix"), F.col("value").cast("double").alias("value")]
-add("tree_sum_until", lambda s, d: M.build_tree(M.dense(sky_counts(s, d, 4), 4), 4, M.sum_until_merger(40)).select(*_AS_DOUBLE), tree_sql(_LEAVES, 4, 4, "CASE WHEN s <= 40 THEN s END"))
-add("tree_empty_siblings", lambda s, d: M.build_tree(M.dense(sky_counts(s, d, 4), 4), 4, M.empty_siblings_merger(60, 1)).select(*_AS_DOUBLE), tree_sql(_LEAVES, 4, 4, "CASE WHEN s <= 60 AND z <= 1 THEN s END"))
-add("tree_tolerance", lambda s, d: M.build_tree(M.dense(sky_counts(s, d, 4), 4).select("ipix", F.col("value").cast("double").alias("value")), 4, M.tolerance_merger(0.5)).select(*_AS_DOUBLE), tree_sql(_LEAVES.replace("CAST(coalesce(c.value, 0) AS BIGINT)", "CAST(coalesce(c.value, 0) AS DOUBLE)"), 4, 4, "CASE WHEN hi - lo <= 0.5e0 * abs(s / 4) THEN s / 4 END"))
-add("tree_equal", lambda s, d: M.multi_order_map(M.dense(sky_counts(s, d, 4), 4), 4, M.equal_merger()).select(*_AS_DOUBLE), tree_sql(_LEAVES, 4, 4, "CASE WHEN lo = hi THEN lo END"))
-add("tree_of_three", lambda s, d: M.build_tree(s.range(729).selectExpr("id AS ipix", "id * id % 7 AS value"), 6, M.sum_until_merger(11), 3).select(*_AS_DOUBLE), tree_sql("SELECT range AS ipix, range * range % 7 AS value FROM range(729)", 6, 3, "CASE WHEN s <= 11 THEN s END"))
+_AS_DOUBLE = ("order_", "ipix", "CAST(value AS DOUBLE) AS value")
+add("tree_sum_until", lambda s, d: M.build_tree(M.dense(sky_counts(s, d, 4), 4), 4, M.sum_until_merger(40)).selectExpr(*_AS_DOUBLE), tree_sql(_LEAVES, 4, 4, "CASE WHEN s <= 40 THEN s END"))
+add("tree_empty_siblings", lambda s, d: M.build_tree(M.dense(sky_counts(s, d, 4), 4), 4, M.empty_siblings_merger(60, 1)).selectExpr(*_AS_DOUBLE), tree_sql(_LEAVES, 4, 4, "CASE WHEN s <= 60 AND z <= 1 THEN s END"))
+add("tree_tolerance", lambda s, d: M.build_tree(M.dense(sky_counts(s, d, 4), 4).select("ipix", F.col("value").cast("double").alias("value")), 4, M.tolerance_merger(0.5)).selectExpr(*_AS_DOUBLE), tree_sql(_LEAVES.replace("CAST(coalesce(c.value, 0) AS BIGINT)", "CAST(coalesce(c.value, 0) AS DOUBLE)"), 4, 4, "CASE WHEN hi - lo <= 0.5e0 * abs(s / 4) THEN s / 4 END"))
+add("tree_equal", lambda s, d: M.multi_order_map(M.dense(sky_counts(s, d, 4), 4), 4, M.equal_merger()).selectExpr(*_AS_DOUBLE), tree_sql(_LEAVES, 4, 4, "CASE WHEN lo = hi THEN lo END"))
+add("tree_of_three", lambda s, d: M.build_tree(s.range(729).selectExpr("id AS ipix", "id * id % 7 AS value"), 6, M.sum_until_merger(11), 3).selectExpr(*_AS_DOUBLE), tree_sql("SELECT range AS ipix, range * range % 7 AS value FROM range(729)", 6, 3, "CASE WHEN s <= 11 THEN s END"))
 add("stream_mom", lambda s, d: counts.mom_once(s, f"{d}/events.parquet", 4, EVENTS, M.threshold_merger(40)), K._MOM3)
 
 # Indexes
