@@ -234,6 +234,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.select("n", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     # a row per row that repeats; of many, in parts that are dealt out
     names = ["doc_id", "fingerprint", "component_id"]
-    many = out.where(F.col("n") > AGAIN).select("*", F.explode(F.expr(f"sequence(0L, n - 1, {AGAIN}L)")).alias("k")).select(*names, F.least(F.col("n") - F.col("k"), F.lit(AGAIN)).alias("n")).repartition()
+    many = out.where(F.col("n") > AGAIN).select("*", F.explode(F.expr(f"sequence(0L, n - 1, {AGAIN}L)")).alias("k")).select(*names, F.least(F.col("n") - F.col("k"), F.lit(AGAIN)).alias("n"))
+    many = many.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     few = out.where(F.col("n") <= AGAIN).select(*names, "n").unionByName(many)
     return few.select(*names, F.explode(F.expr("sequence(1L, n)")).alias("k")).drop("k")

@@ -443,3 +443,101 @@ def test_small_language_is_not_judged(spark):
     got = {r.doc_id: r for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(not got[i].base_failed and got[i].char_distance is None and got[i].word_distance is None and got[i].kept for i in (100, 101, 102))
     assert all(got[i].char_distance is not None and got[i].kept for i in range(60))
+
+
+def test_rows_that_repeat_are_returned_each(spark, tmp_path, monkeypatch):
+    """The queries give a row per row: repeats, null ids, null texts."""
+    monkeypatch.setattr(simhash, "AGAIN", 2)
+    ids = [3, 3, 3, 3, 3, None, None, None, 4, 5]
+    texts = ["same words here now"] * 5 + ["no id at all"] * 3 + [None, "same words here now"]
+    make(spark, texts, ids).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "words here")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    d = f"file://{tmp_path}"
+    got = Counter((r.doc_id, r.component_id) for r in simhash.op5_simhash_near_dedup(spark, d).collect())
+    assert got == {(3, 3): 5, (None, None): 3, (4, 4): 1, (5, 3): 1}
+    found = decontam.op2_benchmark_decontamination(spark, d).collect()
+    assert len(found) == 10 and sum(r.contaminated for r in found) == 6
+    for query in (packing.op1_best_fit_packing, suffixes.op3_suffix_dedup, licenses.op4_license_scan, quality.op6_quality_divergence, sstable.op8_token_shards, brown.op9_brown_class_lm, pii.op10_pii_disclosure):
+        assert query(spark, d).count() == 10
+
+
+def test_suffixes_are_ordered_by_their_bytes():
+    rng = np.random.default_rng(2)
+    data = rng.integers(97, 99, (400, 50)).astype(np.uint8)
+    data[200:] = data[rng.integers(0, 200, 200)]
+    data[300:, 40:] = 97
+    group = np.sort(rng.integers(0, 3, 400))
+    order, shared = suffixes.ordered(group, data)
+    rows = [(int(group[i]), data[i].tobytes()) for i in order]
+    assert rows == sorted(rows)
+    for k in range(1, 400):
+        a, b = rows[k - 1], rows[k]
+        want = -1 if a[0] != b[0] else next((j for j in range(50) if a[1][j] != b[1][j]), 50)
+        assert shared[k] == want
+
+
+def test_exchange_raises_the_likelihood():
+    """best_classes is the class of the greatest likelihood of the class bigrams, by trying each."""
+    rng = np.random.default_rng(1)
+    symbols, classes = 12, 3
+    pairs = rng.integers(0, 9, (symbols, symbols)).astype(float)
+    cls = np.concatenate([np.arange(8) % classes, np.arange(3, 7)])
+    word = 10  # in a class of its own, like a word that no sweep has moved
+    groups = 7
+
+    def table_of(cls):
+        one = np.zeros((symbols, groups))
+        one[np.arange(symbols), cls] = 1
+        return one.T @ pairs @ one
+
+    def likelihood(table):
+        f = lambda x: np.where(x > 0, x * np.log(np.maximum(x, 1)), 0.0)
+        return f(table).sum() - f(table.sum(1)).sum() - f(table.sum(0)).sum()
+
+    rows = Counter()
+    for v in range(symbols):
+        if v != word:
+            rows[int(cls[v])] += pairs[word, v]
+            rows[groups + int(cls[v])] += pairs[v, word]
+    rows[2 * groups] += pairs[word, word]
+    slot = np.array(sorted(rows))
+    n = np.array([rows[k] for k in slot.tolist()])
+    rest = pairs.copy()
+    rest[word], rest[:, word] = 0, 0
+    one = np.zeros((symbols, groups))
+    one[np.arange(symbols), cls] = 1
+    got = brown.best_classes(np.zeros(len(slot), int), slot, n, one.T @ rest @ one, classes)
+    tried = []
+    for c in range(classes):
+        moved = cls.copy()
+        moved[word] = c
+        tried.append(likelihood(table_of(moved)))
+    assert got.tolist() == [int(np.argmax(tried))]
+
+
+def test_licenses_with_changed_words(spark):
+    """Bodies with one or two words changed are found; the containment is that of a plain count over windows."""
+    rng = random.Random(11)
+    bodies = [(n, t) for n, t in licenses.TEMPLATES if 60 < len(licenses.words(t.encode())) < 900]
+    texts, want = [], []
+    for name, body in bodies:
+        for changes in (1, 2):
+            for _ in range(3):
+                w = [x.decode("utf-8", "replace") for x in licenses.words(body.encode())]
+                for k in rng.sample(range(len(w)), changes):
+                    w[k] = "changed"
+                texts.append("before it " * 9 + " ".join(w) + " after it" * 9)
+                want.append(name)
+    got = {r.doc_id: r.licenses for r in licenses.scan(make(spark, texts)).collect()}
+    hit = sum(any(x.license == want[i] for x in got[i]) for i in range(len(texts)))
+    assert hit >= 0.9 * len(texts)
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    whole = {}
+    for name, t in bodies:
+        whole.setdefault(name, []).append(set(grams(licenses.words(t.encode()))))
+    for i, t in enumerate(texts[:20]):
+        own = grams(licenses.words(t.encode()))
+        best = max(len(g & set(own[a : a + len(g)])) / len(g) for g in whole[want[i]] for a in range(max(len(own) - len(g) + 1, 1)))
+        found = [x.containment for x in got[i] if x.license == want[i]]
+        if best >= licenses.MIN_CONTAINED and found:
+            assert abs(max(found) - best) < 1e-9
