@@ -118,6 +118,13 @@ def sort_by_cell(df: DataFrame, partitions: int | None = None, lon: str = "lon",
     return (out.repartitionByRange(partitions, "hash29") if partitions else out.repartitionByRange("hash29")).sortWithinPartitions("hash29")
 
 
+def store(df: DataFrame, path: str, partitions: int | None = None, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """sort_by_cell as a table at path, with small row groups and pages, whose ranges of hash29 a region filter prunes."""
+    out = sort_by_cell(df, partitions, lon, lat)
+    out.write.option("parquet.block.size", 16 << 20).option("parquet.page.row.count.limit", 4000).parquet(path)
+    return df.sparkSession.read.schema(out.schema).parquet(path)
+
+
 # Multi-order maps
 
 
@@ -405,8 +412,8 @@ def union_ranges(ranges: DataFrame, flags: bool = True) -> DataFrame:
 
 
 def _joined(ranges: DataFrame) -> DataFrame:
-    """Gaps and islands of ranges by flag; ranges of different flags don't overlap."""
-    blocks = ranges.withColumn("_b", F.shiftright("lo", BLOCK_BITS))
+    """Gaps and islands of ranges by flag; ranges of different flags don't overlap. _b is the block that a range begins in."""
+    blocks = ranges if "_b" in ranges.columns else ranges.withColumn("_b", F.shiftright("lo", BLOCK_BITS))
     runs = _islands(blocks, ["_b", "is_full"]).select("lo", "hi", "is_full")
     # what ends inside its block and begins inside it can't go on; the rest is few: at most two runs a block and flag
     edge = (F.col("lo").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) == 0) | (F.shiftright("lo", BLOCK_BITS) != F.shiftright(F.col("hi") - 1, BLOCK_BITS)) | (F.col("hi").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)) == 0)
@@ -456,15 +463,16 @@ def combine(left: DataFrame, right: DataFrame | None, op: str) -> DataFrame:
         empty = [F.lit(0).alias(c) for c in ("l0", "l1", "r0", "r1")]
         ends = left.sparkSession.range(12 << (58 - BLOCK_BITS)).select(F.col("id").alias("b"), F.explode(F.array(F.col("id") * block, (F.col("id") + 1) * block)).alias("at"), *empty)
         rows = rows.unionByName(ends)
-    at = rows.groupBy("b", "at").agg(*[F.sum(c).alias(c) for c in ("l0", "l1", "r0", "r1")])
+    # one shuffle, by block: sums, sweep and runs all need no finer one
+    at = rows.repartition("b").groupBy("b", "at").agg(*[F.sum(c).alias(c) for c in ("l0", "l1", "r0", "r1")])
     w = Window.partitionBy("b").orderBy("at")
-    swept = at.select(F.col("at").alias("lo"), F.lead("at").over(w).alias("hi"), *[F.sum(c).over(w).alias(c) for c in ("l0", "l1", "r0", "r1")])
+    swept = at.select("b", F.col("at").alias("lo"), F.lead("at").over(w).alias("hi"), *[F.sum(c).over(w).alias(c) for c in ("l0", "l1", "r0", "r1")])
     state = lambda s: F.when(F.col(f"{s}1") > 0, 2).when(F.col(f"{s}0") > 0, 1).otherwise(0)
-    swept = swept.select("lo", "hi", state("l").alias("l"), state("r").alias("r"))
+    swept = swept.select("b", "lo", "hi", state("l").alias("l"), state("r").alias("r"))
     flag = F.lit(None).cast("boolean")
     for (a, b), full in RULES[op].items():
         flag = F.when((F.col("l") == a) & (F.col("r") == b), F.lit(full)).otherwise(flag)
-    return _joined(swept.withColumn("is_full", flag).where("hi IS NOT NULL AND is_full IS NOT NULL").select("lo", "hi", "is_full"))
+    return _joined(swept.withColumn("is_full", flag).where("hi IS NOT NULL AND is_full IS NOT NULL").select("lo", "hi", "is_full", F.col("b").alias("_b")))
 
 
 def equal_covers(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ covered("region_box", Q.shape(Q.parse("Box ICRS 0 12 12 5 30")), Q.predicate("Bo
 
 def stored_sky(s, d) -> DataFrame:
     """The sky in the order of cells, as a table whose row groups hold ranges of hash29."""
-    return storage.held(M.sort_by_cell(source(s, d, SKY)))
+    return M.store(source(s, d, SKY), storage.scratch(s, "sky"))
 
 
 add("within_stored", lambda s, d: M.within(stored_sky(s, d), V.ranges(K.CONE), K._EXACT).select("id", "lon", "lat"), SQL["within_cone"])
