@@ -22,6 +22,8 @@ from spherix.llm import common
 COMMON_WORDS = 100
 MIN_WORDS, MIN_CHARS, MIN_COMMON = 50, 200, 10
 MIN_REFERENCE_WORDS = 10_000
+#: Languages whose names may be sent to all executors.
+MAX_LANGUAGES = 10_000
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE = 0.31, 0.55
 MAX_REPEAT_PERCENT = 50
 _SYMBOLS = b"#*$%&|<>"
@@ -109,6 +111,8 @@ def references(docs: DataFrame) -> tuple[dict, dict]:
     # a language below MIN_REFERENCE_WORDS has no reference: nothing of it comes to the driver
     counts = common.written(counts, "words")
     big = counts.where(F.col("lang").startswith("\0") & (F.col("word") == F.lit(b"8")) & (F.col("n") >= MIN_REFERENCE_WORDS)).select(F.expr("substring(lang, 2)").alias("big"))
+    # by shuffle, all words of a language would meet in one task; the names of languages are few unless lang is no language
+    big = F.broadcast(big) if big.count() <= MAX_LANGUAGES else big
     own = F.when(F.col("lang").startswith("\0"), F.expr("substring(lang, 2)")).otherwise(F.col("lang"))
     rows = counts.join(big, own == F.col("big"), "left_semi").withColumn("_k", F.row_number().over(top)).where(F.col("_k") <= COMMON_WORDS).collect()
     words: dict[str, dict[bytes, int]] = {}
