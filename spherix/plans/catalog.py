@@ -91,12 +91,6 @@ _OUTER = [(x, y) for x in range(-1, 3) for y in range(-1, 3) if x in (-1, 2) or
 layered("external_edge", 3, [{"first": C.first_child("ipix")}, *C.decode(4, "first"), *C.side_by_side(*[C.step_to(4, str(x), str(y), f"x{i}") for i, (x, y) in enumerate(_OUTER)])], ["ipix", *[f"x{i}" for i in range(12)]])
 add("layer_table", lambda s, d: s.range(30).selectExpr("CAST(id AS INT) AS depth", "1L << CAST(id AS INT) AS nside", "12L << CAST(2 * id AS INT) AS ncells"), "SELECT CAST(range AS INT) AS depth, CAST(1 AS BIGINT) << range AS nside, CAST(12 AS BIGINT) << (2 * range) AS ncells FROM range(30)")
 
-_PAIR = M.haversine("a.lon", "a.lat", "b.lon", "b.lat")
-add(
-    "haversine_pairs",
-    lambda s, d: source(s, d, CUSTOMERS).alias("a").join(source(s, d, SUPPLIERS).alias("b"), F.expr("a.id % 100 = b.id % 100")).select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.round(F.expr(C.doubles(_PAIR)), 9).alias("distance")),
-    f"SELECT a.id AS left_id, b.id AS right_id, round({_PAIR}, 9) AS distance FROM {CUSTOMERS} a JOIN {SUPPLIERS} b ON a.id % 100 = b.id % 100",
-)
 layered("eq_to_gal", CUSTOMERS, G.rotated(G.GALACTIC, "lon", "lat", "gal_lon", "gal_lat"), ["id", "round(gal_lon, 7) AS gal_lon", "round(gal_lat, 7) AS gal_lat"])
 layered("gal_to_eq", CUSTOMERS, G.rotated(G.GALACTIC, "lon", "lat", "eq_lon", "eq_lat", back=True), ["id", "round(eq_lon, 7) AS eq_lon", "round(eq_lat, 7) AS eq_lat"])
 
@@ -168,9 +162,6 @@ _SETS = {"and": f"SELECT ipix FROM {_A} AS a INTERSECT SELECT ipix FROM {_B} AS
 _SETS["xor"] = f"(SELECT ipix FROM {_A} AS a UNION SELECT ipix FROM {_B} AS b) EXCEPT (SELECT ipix FROM {_A} AS a INTERSECT SELECT ipix FROM {_B} AS b)"
 for _op, _sql in _SETS.items():
     add(f"moc_{_op}", lambda s, d, op=_op: M.flatten(M.combine(moc(s, d, CUSTOMERS), None if op == "not" else moc(s, d, SUPPLIERS), op), 4), f"SELECT ipix, true AS is_full FROM ({_sql}) AS q")
-_BY = 2 * (29 - 4)
-add("moc_ranges", lambda s, d: M.union_ranges(moc(s, d, SUPPLIERS)).select("lo", "hi"), f"SELECT min(ipix) << {_BY} AS lo, (max(ipix) + 1) << {_BY} AS hi FROM (SELECT ipix, ipix - row_number() OVER (PARTITION BY ipix >> 8 ORDER BY ipix) AS g FROM {_B} AS b) AS q GROUP BY g, ipix >> 8")
-add("moc_degrade", lambda s, d: M.with_hash(source(s, d, SUPPLIERS), 4).select(F.shiftright("ipix", 4).alias("ipix")).distinct(), f"SELECT DISTINCT ipix >> 4 AS ipix FROM {_B} AS b")
 _NEAR = " UNION ".join(["SELECT ipix FROM n", *[f"SELECT n_{x.lower()} FROM n WHERE n_{x.lower()} IS NOT NULL" for x in C.DIRECTIONS]])
 add("moc_expand", lambda s, d: M.expand(M.with_hash(source(s, d, SUPPLIERS), 4).select("ipix").distinct(), 4), f"WITH n AS ({C.to_sql(_B, C.neighbours(4), '*')}) {_NEAR}")
 add("moc_border", lambda s, d: M.external_border(M.with_hash(source(s, d, SUPPLIERS), 4).select("ipix").distinct(), 4), f"WITH n AS ({C.to_sql(_B, C.neighbours(4), '*')}) SELECT ipix FROM ({_NEAR}) AS q EXCEPT SELECT ipix FROM n")
