@@ -38,6 +38,8 @@ CONTEXT = REACH + WINDOW
 PAD = 96
 CHUNK = 2 << 20
 PLACE = np.uint64((1 << 24) - 1)
+#: Bits of the first digit's hash. Anchors that it takes for equal are only compared in vain; the zeros before it cost no disk.
+DIGIT = np.uint64(2**64 - 2**16)
 NO_ID = 2**63 - 1
 #: Classes of one anchor that may meet in one task (about 150 bytes each), and anchors that may be sent to all executors.
 LARGE, MAX_BROADCAST = 1 << 16, 1 << 20
@@ -97,7 +99,7 @@ class Layout:
         p = np.concatenate(places) if places else np.empty(0, np.int64)
         p = p[np.concatenate([[True], p[1:] != p[:-1]])] if len(p) else p
         self.place, self.text = p, np.searchsorted(self.start, p, side="right") - 1
-        self.hash = h[p].view(np.int64)
+        self.hash = (h[p] & DIGIT).view(np.int64)
         self.left = np.minimum(REACH, p - self.start[self.text])
         self.right = np.minimum(WINDOW, self.start[self.text] + self.size[self.text] - p)
         c = _finish((self.left * 64 + self.right).astype(np.uint64) * _M[0])
@@ -206,11 +208,10 @@ def _classes(batches: Iterator[pa.RecordBatch], large: int) -> Iterator[pa.Recor
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads (doc, text, asked: [(c, h)]); gives (h, c, doc, left, right, bytes) of the asked anchors."""
+    """Reads (doc, text, asked: [c]); gives (h, c, doc, left, right, bytes) of the asked anchors."""
     for batch in batches:
         doc, texts, asked = batch.column(0).to_numpy(), _unpacked(batch.column(1)), batch.column(2)
-        offsets, values = asked.offsets.to_numpy(), asked.values
-        c, h = values.field(0).to_numpy(), values.field(1).to_numpy()
+        offsets, c = asked.offsets.to_numpy(), asked.values.to_numpy()
         for lo, hi in _chunks(texts):
             own = Layout(texts[lo:hi])
             own.anchors()
@@ -222,7 +223,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(there):
                 span = own.data[(own.place[there] - REACH)[:, None] + np.arange(CONTEXT)]
                 raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CONTEXT), len(there), [None, pa.py_buffer(np.ascontiguousarray(span))]).cast(pa.binary())
-                yield _rows("h c doc l r bytes", h[a:b][k[there]], own.context[there], doc[lo:hi][own.text[there]], own.left[there], own.right[there], raw)
+                yield _rows("h c doc l r bytes", own.hash[there], own.context[there], doc[lo:hi][own.text[there]], own.left[there], own.right[there], raw)
 
 
 def ordered(group: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -373,7 +374,7 @@ def remove_repeats(docs: DataFrame, large: int = LARGE) -> DataFrame:
     classes = anchors.repartition("h").sortWithinPartitions("h", "c", "doc").mapInArrow(partial(_classes, large=large), "doc long, c long, h long, ask int")
     classes = common.written(classes, "classes")
     common.release(spark)
-    asked = classes.where("ask = 1").groupBy("doc").agg(F.collect_set(F.struct("c", "h")).alias("asked"))
+    asked = classes.where("ask = 1").groupBy("doc").agg(F.collect_set("c").alias("asked"))
     contexts = packed.join(asked, "doc").mapInArrow(_contexts, "h long, c long, doc long, l long, r long, bytes binary")
     split = classes.where("ask = 2").select("h").distinct()
     n_split, masks = split.count(), []
