@@ -6,25 +6,29 @@ exchange, whose number grows with the head: the SEEDS most frequent words on the
 bigram counts until none moves; all other words in distributed sweeps, each of a part of them: their counts of
 the classes before and after, over all training texts, meet in a task, which moves each word from its class
 (at first one of its frequency) to that which raises the likelihood of the class bigrams most, and the class
-bigrams are counted anew. All rarer words, and words never seen, are one tail class; counts of tail words stay in
-a table and are joined by word. A text's probability is the product over its tokens of P(class | class before) *
-P(word | class).
+bigrams are counted anew. All rarer words follow in one distributed sweep, whatever their number: their places in the
+texts, with the classes before and after, meet by word, and each word gets its class by exchange too. Only words
+never seen in training have a class of their own; it is followed by what follows rarer words. A text's probability is
+the product over its tokens of P(class | class before) * P(word | class).
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spherix.llm import common
 
-#: Bounds of what goes to the driver and the workers: words of the head, bytes of one, words that the driver clusters.
-HEAD, HEAD_BYTES, SEEDS = 200_000, 64, 1000
+#: Bounds of what goes to the driver and the workers: words of the head, bytes of one on average and at most, words that
+#: the driver clusters. All other words are put in classes from a table.
+HEAD, HEAD_BYTES, LONGEST, SEEDS = 200_000, 64, 4096, 1000
 #: Sweeps on the driver, parts of the other words and so distributed sweeps, first classes by the power of two of a count.
 SWEEPS, PARTS, BANDS = 8, 2, 40
 SMOOTH = 0.1
@@ -33,6 +37,8 @@ KEPT_COUNTS = 500_000
 #: Pairs that a task holds before it sums them up.
 CONTEXTS = 4_000_000
 END = b""  # the end of a text; no word is empty
+#: Beside a rarer word: another one, or the same again.
+RARE, SAME = -1, -2
 
 
 def _folded(docs: DataFrame) -> DataFrame:
@@ -131,12 +137,15 @@ class Head:
 
 
 def _places_of(texts: list[bytes], place: dict[bytes, int], n: int) -> Iterator[tuple[bytes, list[bytes]]]:
-    """Of each text the places (32-bit) of a start, its words and an end, n being the tail's, and the tail words."""
+    """Of each text the places (32-bit) of a start, its words and an end, n being the tail's, and the tail words.
+
+    Of a tail word above HEAD_BYTES stands a space and its SHA-256, so that a long word of many texts stays small.
+    """
     get = place.get
     for t in texts:
         words = t.lower().split()
         own = [n + 2, *[get(x, n) for x in words], n + 1]
-        yield np.array(own, dtype="<i4").tobytes(), [w for w, k in zip(words, own[1:]) if k == n] if n in own else []
+        yield np.array(own, dtype="<i4").tobytes(), [w if len(w) <= HEAD_BYTES else b" " + sha256(w).digest() for w, k in zip(words, own[1:]) if k == n] if n in own else []
 
 
 def _parts(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
@@ -306,6 +315,119 @@ def cluster(train: DataFrame, head: "Head", held, parts: int = PARTS) -> tuple[n
     return group, table
 
 
+def _rare_places(stored: DataFrame, held) -> DataFrame:
+    """(row, pos, held_out, word, left, right): each place of a word outside the head; groups beside it, or RARE or SAME."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = held.value[0]
+        n = len(group) - 3
+        for batch in batches:
+            flat, size = _flat(batch.column(2))
+            at = np.nonzero(flat == n)[0]
+            word = batch.column(3).flatten()
+            row = np.repeat(batch.column(0).to_numpy(), size)[at]
+            held_out = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), size)[at]
+            again = np.zeros(len(at) + 1, dtype=bool)  # a place whose word is that of the place before
+            if len(at) > 1:
+                again[1:-1] = (np.diff(at) == 1) & pc.equal(word.slice(1), word.slice(0, len(at) - 1)).to_numpy(zero_copy_only=False)
+            side = lambda k, same: np.where(same, SAME, np.where(flat[k] == n, RARE, group[flat[k]])).astype(np.int32)
+            columns = [pa.array(row), pa.array(at.astype(np.int32)), pa.array(held_out), word, pa.array(side(at - 1, again[:-1])), pa.array(side(at + 1, again[1:]))]
+            out = pa.RecordBatch.from_arrays(columns, ["row", "pos", "held_out", "word", "left", "right"])
+            for lo in range(0, len(at), 1 << 16):
+                yield out.slice(lo, 1 << 16)
+
+    return stored.select("row", "held_out", "ids", "tail").mapInArrow(find, "row long, pos int, held_out boolean, word binary, left int, right int")
+
+
+def _changes(word: pa.Array) -> np.ndarray:
+    """Whether each word but the first differs from that before."""
+    return pc.not_equal(word.slice(1), word.slice(0, max(len(word) - 1, 0))).to_numpy(zero_copy_only=False)
+
+
+def _whole_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by word, cut anew so that none ends within a word."""
+    joined = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    kept: list[pa.RecordBatch] = []  # one word's
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.nonzero(_changes(batch.column("word")))[0]
+        cut = int(new[-1]) + 1 if len(new) else 0
+        if cut:
+            yield joined([*kept, batch.slice(0, cut)])
+            kept = []
+        elif kept and kept[-1].column("word")[-1] != batch.column("word")[0]:
+            yield joined(kept)
+            kept = []
+        kept.append(batch.slice(cut))
+    if kept:
+        yield joined(kept)
+
+
+def rare_links(stored: DataFrame, head: "Head", group: np.ndarray, table: np.ndarray) -> DataFrame:
+    """(row, pos, held_out, left, joined, class, right, n), a stored table: a row per place of a word outside the head.
+
+    n counts the word in training texts; class is the best of its contexts there, judged by the class bigrams as they
+    are, or the tail's group if there are none. left and right are the groups beside it; where another such word
+    is beside it, joined is true and left that word's class, or right is negative, as the pair is the next place's left.
+    """
+    groups, width, classes = len(table), 2 * len(table) + 1, head.classes
+    held = stored.sparkSession.sparkContext.broadcast((group.astype(np.int64), table))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, table = held.value
+        tail = group[-3]
+        for batch in _whole_words(batches):
+            word = np.concatenate([[0], np.cumsum(_changes(batch.column("word")))]).astype(np.int64)
+            trains = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+            left, right = batch.column("left").to_numpy(), batch.column("right").to_numpy()
+            n = np.bincount(word[trains], minlength=word[-1] + 1)
+            after = np.where(right == SAME, 2 * groups, np.where(right == RARE, tail, right))
+            before = groups + np.where(left == RARE, tail, left)
+            other = trains & (left != SAME)  # a word after itself is counted once
+            key, count = np.unique(np.concatenate([word[trains] * width + after[trains], word[other] * width + before[other]]), return_counts=True)
+            own = np.full(len(n), tail)
+            if len(key):
+                known = np.nonzero(n)[0]
+                own[known] = best_classes(np.searchsorted(known, key // width), key % width, count.astype(float), table, classes)
+            columns = [*(batch.column(k) for k in ("row", "pos", "held_out", "left", "right")), pa.array(own[word].astype(np.int32)), pa.array(n[word])]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "pos", "held_out", "left", "right", "class", "n"])
+
+    met = _rare_places(stored, held).repartition("word").sortWithinPartitions("word")
+    places = met.mapInArrow(assign, "row long, pos int, held_out boolean, left int, right int, class int, n long")
+    joined = F.col("left") < 0
+    left = F.when(joined, F.lag("class").over(Window.partitionBy("row").orderBy("pos"))).otherwise(F.col("left"))
+    out = common.written(places.select("row", "pos", "held_out", left.alias("left"), joined.alias("joined"), "class", "right", "n"), "links")
+    held.unpersist()
+    common.release(stored.sparkSession)
+    return out
+
+
+def with_rare(table: np.ndarray, links: DataFrame, tail: int) -> np.ndarray:
+    """Class bigrams in which the rarer words of training texts count as their classes, and not as the tail's group.
+
+    The tail's group, now that of words never seen, keeps what follows rarer words, and nothing is followed by it.
+    """
+    groups = len(table)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(groups**2, dtype=np.int64)
+        for batch in batches:
+            left, own, right = (batch.column(k).to_numpy() for k in (0, 2, 3))
+            joined, last = batch.column(1).to_numpy(zero_copy_only=False), right >= 0
+            for pair in (left * groups + own, own[last] * groups + right[last], tail * groups + right[last], tail * groups + own[joined]):
+                total += np.bincount(pair, minlength=len(total))
+        some = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
+
+    train = links.where("NOT held_out").select("left", "joined", "class", "right")
+    rows = train.mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = table.copy()
+    out[tail], out[:, tail] = 0, 0
+    out.reshape(-1)[rows.column("pair").to_numpy()] += rows.column("n").to_numpy()
+    return out
+
+
 def score(docs: DataFrame, parts: int = PARTS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity), a row per row of docs.
 
@@ -316,23 +438,25 @@ def score(docs: DataFrame, parts: int = PARTS) -> DataFrame:
     folded = _folded(docs)
     counts = common.written(count_words(folded.where("NOT held_out")), "counts")
     total, vocabulary, end_count = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("n"))), F.lit(0))).first()
-    in_head = F.octet_length("word").between(1, HEAD_BYTES) & (F.col("n") >= F.lit(least_count(counts)))
-    rows = counts.where(in_head).toArrow()
+    rows = counts.where(in_head(counts)).toArrow()
     head = Head(rows.column("word").to_pylist(), rows.column("n").to_numpy())
+    common.dropped(counts)
     held = spark.sparkContext.broadcast(head)
     stored = places(folded, held)
     word_class, table = cluster(stored.where("NOT held_out"), head, held, parts)
-    groups = len(table)
+    groups, unseen = len(table), int(word_class[len(head.words)])
+    links = rare_links(stored, head, word_class, table)
+    table = with_rare(table, links, unseen)
     step = np.log10((table + SMOOTH) / (table.sum(1, keepdims=True) + SMOOTH * (groups - 1)))
-    tail_tokens, tail_words = int(total - head.counts.sum() - end_count), int(vocabulary - len(head.words) - (end_count > 0))
-    mass = np.bincount(word_class[: len(head.words)], weights=head.counts, minlength=groups)
-    emit = np.log10(head.counts / mass[word_class[: len(head.words)]]) if len(head.words) else np.empty(0)
-    emit = np.concatenate([emit, [-np.log10(tail_tokens + tail_words + 1), 0.0, 0.0]])
+    mass = np.log10(np.maximum(table.sum(0), 1))
+    emit = np.concatenate([np.log10(head.counts) - mass[word_class[: len(head.words)]], [0.0, 0.0, 0.0]])
     seen = np.concatenate([np.log10(head.counts + 1.0), [0.0, np.log10(end_count + 1.0), 0.0]])
-    model = spark.sparkContext.broadcast((word_class, step, emit, seen, bool(end_count)))
+    inner = step.copy()  # steps from and to words outside the head are those of links
+    inner[unseen], inner[:, unseen] = 0, 0
+    model = spark.sparkContext.broadcast((word_class, inner, emit, seen, bool(end_count)))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_class, step, emit, seen, end_known = model.value
+        word_class, inner, emit, seen, end_known = model.value
         n = len(word_class) - 3
         for batch in batches:
             flat, size = _flat(batch.column(3))
@@ -341,7 +465,7 @@ def score(docs: DataFrame, parts: int = PARTS) -> DataFrame:
             g = word_class[flat]
             first = np.concatenate([[0], np.cumsum(size)[:-1]])
             value = emit[flat]
-            value[1:] += step[g[:-1], g[1:]]
+            value[1:] += inner[g[:-1], g[1:]]
             value[first] = 0
             known = np.where(flat == n + 1, end_known, flat < n)
             known[first] = 0
@@ -349,30 +473,43 @@ def score(docs: DataFrame, parts: int = PARTS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "value"])
 
     part = stored.select("row", "doc_id", "held_out", "ids").mapInArrow(judge, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, value double")
-    each = stored.select("row", F.explode("tail").alias("word"))
-    tail = counts.where(~in_head & (F.octet_length("word") > 0))
-    more = each.join(tail, "word").groupBy("row").agg(F.count("*").alias("more_known"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("more"))
+    steps = spark.sparkContext.broadcast((step, mass))
+
+    def judge_rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, mass = steps.value
+        for batch in batches:
+            left, own, right, n = (batch.column(k).to_numpy() for k in range(1, 5))
+            value = step[left, own] + np.where(right >= 0, step[own, right], 0.0) + np.where(n > 0, np.log10(np.maximum(n, 1)) - mass[own], 0.0)
+            row, at = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            known = np.bincount(at, weights=n > 0, minlength=len(row)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(known), pa.array(np.bincount(at, weights=np.log10(n + 1.0), minlength=len(row))), pa.array(np.bincount(at, weights=value, minlength=len(row)))], ["row", "known", "base", "value"])
+
+    rare = links.select("row", "left", "class", "right", "n").mapInArrow(judge_rare, "row long, known long, base double, value double")
+    more = rare.groupBy("row").agg(F.sum("known").alias("more_known"), F.sum("base").alias("more_base"), F.sum("value").alias("more_value"))
     both = part.join(more, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    base = F.col("base") + more - F.col("n_tokens") * F.lit(float(np.log10(total + vocabulary + 1)))
-    value = F.col("value") + more
+    base = F.col("base") + F.coalesce("more_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + vocabulary + 1)))
+    value = F.col("value") + F.coalesce("more_value", F.lit(0.0))
     return both.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), value.alias("score"), F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"))
 
 
-def least_count(counts: DataFrame) -> int:
-    """The least count of a head word: so that the head has at most HEAD words, all of any count or none.
+def in_head(counts: DataFrame) -> Column:
+    """Whether a word is of the head: the most frequent ones, about HEAD at most, all of a like count or none.
 
-    Counts are summed up by their powers of 1.05 first; to the driver come some hundred rows.
+    Counts are summed up by their powers of 1.05 first; to the driver come some hundred rows. Where this gives too
+    few words to cluster, a part of the next ones by hash fills the head.
     """
-    words = counts.where(F.octet_length("word").between(1, HEAD_BYTES))
+    words = counts.where(F.octet_length("word").between(1, LONGEST))
     level = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.05)))).alias("level")
-    by_level = words.groupBy(level).agg(F.count("*").alias("k"), F.min("n").alias("least")).collect()
-    least, size = 2**62, 0
+    by_level = words.groupBy(level).agg(F.count("*").alias("k"), F.min("n").alias("least"), F.sum(F.octet_length("word")).alias("bytes")).collect()
+    least, size, room, more = 2**62, 0, HEAD * HEAD_BYTES, F.lit(False)
     for r in sorted(by_level, key=lambda r: -r["level"]):
-        if size + r["k"] > HEAD:
+        if size + r["k"] > HEAD or r["bytes"] > room:
+            if size < SEEDS:
+                share = min((HEAD - size) / r["k"], room / r["bytes"])
+                more = (F.col("n") >= F.lit(r["least"])) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
             break
-        least, size = r["least"], size + r["k"]
-    return least
+        least, size, room = r["least"], size + r["k"], room - r["bytes"]
+    return F.octet_length("word").between(1, LONGEST) & ((F.col("n") >= F.lit(least)) | more)
 
 
 def op9_brown_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -515,6 +515,95 @@ def test_exchange_raises_the_likelihood():
     assert got.tolist() == [int(np.argmax(tried))]
 
 
+def test_words_outside_the_head_are_clustered(spark, monkeypatch):
+    """Rare nouns and verbs, none in the head, are told apart by where they stand: before, all were one class."""
+    rng = random.Random(3)
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    texts = [f"the {rng.choice(['cat', 'dog'])} will {rng.choice(['run', 'eat'])} now" for _ in range(600)]
+    train = [i for i in range(600) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for k in range(60):
+        texts[train[2 * k]] = f"the noun{k % 20:02} will run now"
+        texts[train[2 * k + 1]] = f"the cat will verb{k % 20:02}{'x' * 100} now"
+    texts[held[0]], texts[held[1]] = f"the noun07 will verb07{'x' * 100} now", f"the verb07{'x' * 100} will noun07 now"
+    monkeypatch.setattr(brown, "HEAD", 8)
+    score = {r.doc_id: r.score for r in brown.score(make(spark, texts)).collect()}
+    assert score[held[0]] > score[held[1]] + 2
+
+
+def test_brown_against_brute_force_beyond_the_head(spark, docs, monkeypatch):
+    """Classes of words outside the head, from all their contexts, and scores, with words next to each other and after themselves."""
+    df, texts, _ = docs
+    got = {}
+    cluster, links = brown.cluster, brown.rare_links
+
+    def kept_cluster(train, head, *more):
+        group, table = cluster(train, head, *more)
+        got.update(head=head, group=group.tolist(), table=table.copy())
+        return group, table
+
+    def kept_links(*args):
+        got["links"] = links(*args)
+        return got["links"]
+
+    monkeypatch.setattr(brown, "HEAD", 60)
+    monkeypatch.setattr(brown, "LONGEST", 100)
+    monkeypatch.setattr(brown, "cluster", kept_cluster)
+    monkeypatch.setattr(brown, "rare_links", kept_links)
+    extra = ["again again again w1 again", "never1 never2 w1 never1", "one1 one2 one2 one2 one3"] * 4
+    frame, texts = make(spark, texts + extra), texts + extra
+    score = {r.doc_id: (r.score, r.n_known) for r in brown.score(frame).collect()}
+    head, group, table = got["head"], got["group"], got["table"]
+    place, n = head.places(), len(head.words)
+    groups, tail, end, start = len(table), group[n], group[n + 1], group[n + 2]
+    lines = [words(t) for t in texts]
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    assert n and all(len(w) <= 100 for w in head.words) and any(len(w) > 100 for x in lines for w in x)
+    slots = {}
+    counts = Counter(w for x, t in zip(lines, train) if t for w in x)
+    for x in (x for x, t in zip(lines, train) if t):
+        g = [start, *(group[place.get(w, n)] for w in x), end]
+        for k, w in enumerate(x):
+            if w not in place:
+                own = slots.setdefault(w, Counter())
+                if k + 1 < len(x) and x[k + 1] == w:
+                    own[2 * groups] += 1
+                else:
+                    own[g[k + 2]] += 1
+                if not k or x[k - 1] != w:
+                    own[groups + g[k]] += 1
+    own = {w: group[k] for w, k in place.items()}
+    for w, c in slots.items():
+        slot = np.array(sorted(c))
+        own[w] = int(brown.best_classes(np.zeros(len(slot), int), slot, np.array([float(c[k]) for k in slot.tolist()]), table, head.classes)[0])
+    assert len({own[w] for w in slots}) > 1
+    rows = got["links"].collect()
+    assert len({(r.row, r.pos) for r in rows}) == len(rows) == sum(w not in place for x in lines for w in x)
+    assert all(r["class"] < head.classes if r.n else r["class"] == tail for r in rows)
+    pairs = np.zeros((groups, groups))
+    for x in (x for x, t in zip(lines, train) if t):
+        g = [start, *(own[w] for w in x), end]
+        for k, (a, b) in enumerate(zip(g, g[1:])):
+            pairs[a, b] += 1
+            if k and x[k - 1] not in place:
+                pairs[tail, b] += 1
+    step = (pairs + brown.SMOOTH) / (pairs.sum(1, keepdims=True) + brown.SMOOTH * (groups - 1))
+    mass = pairs.sum(0)
+    for i, x in enumerate(lines):
+        g = [start, *(own.get(w, tail) for w in x), end]
+        want = sum(log10(step[a, b]) for a, b in zip(g, g[1:])) + sum(log10(counts[w] / mass[own[w]]) for w in x if counts[w])
+        assert score[i][0] == pytest.approx(want) and score[i][1] == sum(counts[w] > 0 for w in x) + 1
+
+
+def test_head_of_words_of_one_count(spark, monkeypatch):
+    """Where words of the same count are more than the head holds, a part of them is the head, and all get scores."""
+    monkeypatch.setattr(brown, "HEAD", 100)
+    counts = spark.createDataFrame([(f"w{k}".encode(), 1) for k in range(1000)], "word binary, n long")
+    assert 50 < counts.where(brown.in_head(counts)).count() < 150
+    texts = [" ".join(f"w{k}" for k in range(10 * i, 10 * i + 10)) for i in range(100)]
+    rows = brown.score(make(spark, texts)).collect()
+    assert len(rows) == 100 and all(r.n_known == (1 if r.held_out else 11) for r in rows)
+
+
 def test_licenses_with_changed_words(spark):
     """Bodies with one or two words changed are found; the containment is that of a plain count over windows."""
     rng = random.Random(11)
