@@ -360,33 +360,56 @@ def sample_rows(index: DataFrame, every: int, lo: int, hi: int, total: int | Non
     return index.agg(start.cast("long").alias("row_start"), end.cast("long").alias("row_end"))
 
 
-def order_breaks(df: DataFrame, key: str) -> DataFrame:
-    """One row (breaks): how often key falls from a row to the next, in the order of partitions; 0 if df is sorted.
+def order_breaks(df: DataFrame, key: str, places: list[str] | None = None) -> DataFrame:
+    """One row (breaks): how often key falls from a row to the next; 0 if df is sorted. NULL comes before all keys.
 
-    Rows stay where they are: each partition tells its falls, its first and its last key. NULL comes before all keys.
+    The order is that of partitions or, with places, of these columns, which tell the stretch that a row stands in: the
+    first is a string. A partition may hold stretches in any order, as those of files, but each of them in one piece.
+    Rows stay where they are: each partition tells its stretches' falls, first and last keys.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     def ends(batches):
         import numpy as np
         from pyspark import TaskContext
 
-        n, first, last = 0, None, None
-        for b in batches:
-            if b.num_rows:
-                k = b.column(0).cast(pa.int64()).fill_null(-(2**63)).to_numpy()
-                n += int((k[1:] < k[:-1]).sum()) + (last is not None and last > int(k[0]))
-                first, last = int(k[0]) if first is None else first, int(k[-1])
-        if first is not None:
-            yield pa.RecordBatch.from_pydict({"p": [TaskContext.get().partitionId()], "n": [n], "first": [first], "last": [last]})
-
-    own = df.select(F.col(key).cast("long").alias("k")).mapInArrow(ends, "p long, n long, first long, last long")
-    return own.withColumn("b", F.lag("last").over(Window.orderBy("p"))).agg((F.coalesce(F.sum("n"), F.lit(0)) + F.count_if(F.col("b") > F.col("first"))).alias("breaks"))
+        at, n, first, last = None, 0, None, None
 
+        def told():
+            return pa.RecordBatch.from_pydict({"file": [at[0]], "at": [at[1]], "p": [TaskContext.get().partitionId()], "n": [n], "first": [first], "last": [last]}, schema)
 
-def checked_order(df: DataFrame, key: str) -> DataFrame:
-    """df itself if it is sorted by key; an error if not."""
-    if n := order_breaks(df, key).first()["breaks"]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            file, start = b.column(0), b.column(1)
+            k = b.column(2).fill_null(-(2**63)).to_numpy()
+            new = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(start[1:], start[:-1]))
+            cuts = [0, *(np.nonzero(new.to_numpy(zero_copy_only=False))[0] + 1).tolist(), len(k)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                own, here = k[lo:hi], (file[lo].as_py(), start[lo].as_py())
+                if here != at:
+                    if at is not None:
+                        yield told()
+                    at, n, first, last = here, 0, int(own[0]), int(own[0])
+                n += int((own[1:] < own[:-1]).sum()) + (last > int(own[0]))
+                last = int(own[-1])
+        if at is not None:
+            yield told()
+
+    schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("p", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+    where = [F.col(c) for c in places] if places else [F.lit(""), F.lit(0)]
+    own = df.select(where[0].cast("string").alias("file"), where[1].cast("long").alias("at"), F.col(key).cast("long").alias("k"))
+    own = own.mapInArrow(ends, "file string, at long, p long, n long, first long, last long")
+    # of part files, the number tells the order, which may have more digits than the name was made for
+    part = F.expr(r"try_cast(regexp_extract(file, '/part-(\\d+)[^/]*$', 1) AS BIGINT)")
+    order = [F.regexp_extract("file", "^(.*/)?", 0), part, "file", "at", "p"]
+    return own.withColumn("b", F.lag("last").over(Window.orderBy(*order))).agg((F.coalesce(F.sum("n"), F.lit(0)) + F.count_if(F.col("b") > F.col("first"))).alias("breaks"))
+
+
+def checked_order(df: DataFrame, key: str, places: list[str] | None = None) -> DataFrame:
+    """df itself if it is sorted by key, in the order of order_breaks; an error if not."""
+    if n := order_breaks(df, key, places).first()["breaks"]:
         raise ValueError(f"rows aren't sorted by {key}: it falls {n} times")
     return df
 

@@ -289,7 +289,7 @@ def _sorted_file(s, d) -> str:
     return out
 
 
-add("csv_sorted_breaks", lambda s, d: M.order_breaks(M.with_hash(text.read_rows(s, _sky_file(s, d), **_DIGITS), 29, out="hash29").coalesce(1), "hash29").selectExpr("breaks > 0 AS unsorted"), "SELECT true AS unsorted")
+add("csv_sorted_breaks", lambda s, d: text.order_breaks(s, _sky_file(s, d), **_DIGITS).selectExpr("breaks > 0 AS unsorted"), "SELECT true AS unsorted")
 add("csv_index", lambda s, d: text.index_file(s, _sorted_file(s, d), 5, **_DIGITS), f"SELECT ipix, CAST(sum(value) OVER (ORDER BY ipix) - value AS BIGINT) AS row_start, CAST(sum(value) OVER (ORDER BY ipix) AS BIGINT) AS row_end FROM {count_sql(5, CUSTOMERS)} AS c")
 add("csv_projected", lambda s, d: C.apply(text.read_projected(s, _sky_file(s, d), 2, 3).selectExpr("CAST(split(line, ',')[0] AS BIGINT) AS id", "x", "y"), []).selectExpr("id", "round(x, 3) AS x", "round(y, 3) AS y"), f"SELECT id, round(lon, 3) AS x, round(lat, 3) AS y FROM {CUSTOMERS} AS t")
 

@@ -29,19 +29,25 @@ def _split(sep: str) -> str:
     return f"split(line, '{quoted}')"
 
 
-def read_lines(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """(line) of a text file, without comment lines; of a file with a header, its first line is left out."""
+#: Columns that tell the stretch of a file that a line was read from: the file and where the stretch begins.
+PLACES = ["_file", "_begin"]
+
+
+def read_lines(spark: SparkSession, path: str, header: bool = False, places: bool = False) -> DataFrame:
+    """(line) of a text file, without comment lines, on request with PLACES; of a file with a header, its first line is left out."""
     rows = spark.read.option("header", header).csv(path, sep="\x01", schema="line STRING", quote="", escape="", comment="#", enforceSchema=True)
+    if places:
+        rows = rows.select("line", F.col("_metadata.file_path").alias(PLACES[0]), F.col("_metadata.file_block_start").alias(PLACES[1]))
     return rows.where("line IS NOT NULL AND line <> ''")
 
 
-def read_rows(spark: SparkSession, path: str, lon: int = 1, lat: int = 2, sep: str = ",", header: bool = False) -> DataFrame:
-    """(line, lon, lat): lines with the position in fields lon and lat, counted from 1; NULL where it isn't one."""
-    rows = read_lines(spark, path, header)
+def read_rows(spark: SparkSession, path: str, lon: int = 1, lat: int = 2, sep: str = ",", header: bool = False, places: bool = False) -> DataFrame:
+    """(line, lon, lat), on request with PLACES: lines with the position in fields lon and lat, counted from 1; NULL where it isn't one."""
+    rows = read_lines(spark, path, header, places)
     x, y = _field(F.col("line"), lon, sep), _field(F.col("line"), lat, sep)
     rows = rows.withColumns({"lon": x, "lat": y})
     good = F.col("lon").between(0, 360) & F.col("lat").between(-90, 90)
-    return rows.select("line", F.when(good, F.when(F.col("lon") == 360, F.lit(0.0)).otherwise(F.col("lon"))).alias("lon"), F.when(good, F.col("lat")).alias("lat"))
+    return rows.select("line", F.when(good, F.when(F.col("lon") == 360, F.lit(0.0)).otherwise(F.col("lon"))).alias("lon"), F.when(good, F.col("lat")).alias("lat"), *(PLACES if places else []))
 
 
 def read_projected(spark: SparkSession, path: str, x: int = 1, y: int = 2, sep: str = ",", header: bool = False) -> DataFrame:
@@ -78,10 +84,21 @@ def sort_file(spark: SparkSession, path: str, out: str, partitions: int | None =
         rows.write.text(out)
 
 
+def order_breaks(spark: SparkSession, path: str, **options) -> DataFrame:
+    """One row (breaks): how often the cell falls from a line to the next, in a file or a folder of parts in the order of their names.
+
+    Partitions aren't in that order: Spark deals files and stretches of files to them by size.
+    """
+    return maps.order_breaks(_placed(spark, path, **options), "hash29", PLACES)
+
+
+def _placed(spark: SparkSession, path: str, **options) -> DataFrame:
+    return maps.with_hash(read_rows(spark, path, places=True, **options), cells.MAX_DEPTH, out="hash29")
+
+
 def index_file(spark: SparkSession, path: str, depth: int, **options) -> DataFrame:
-    """The cumulative index of a sorted file, or of a folder of its parts; an error if it isn't sorted."""
-    rows = maps.with_hash(read_rows(spark, path, **options), cells.MAX_DEPTH, out="hash29")
-    maps.checked_order(rows, "hash29")
+    """The cumulative index of a sorted file, or of a folder of its parts; an error if it isn't sorted (see order_breaks)."""
+    rows = maps.checked_order(_placed(spark, path, **options), "hash29", PLACES)
     counts = rows.where("hash29 IS NOT NULL").groupBy(F.shiftright("hash29", 2 * (cells.MAX_DEPTH - depth)).alias("ipix")).agg(F.count("*").alias("value"))
     return maps.cumulative_index(counts, depth)
 

@@ -103,6 +103,35 @@ def test_unsorted_rows_are_refused(spark):
     assert M.checked_order(spark.range(10), "id").count() == 10
 
 
+def test_index_of_parts_that_spark_reads_in_another_order(spark, tmp_path):
+    """Spark deals files to partitions largest first; order is that of the parts' names and numbers."""
+    text.sort_file(spark, _lines(spark, f"{tmp_path}/in", 3000), f"file://{tmp_path}/sorted", 1, lon=2, lat=3)
+    lines = next((tmp_path / "sorted").glob("part-*")).read_text().splitlines()
+    for name, order in (("good", [0, 1, 2]), ("bad", [0, 2, 1])):
+        (tmp_path / name).mkdir()
+        parts = [lines[:5], lines[5:105], lines[105:]]
+        for part, k in zip(("part-00007-x", "part-99999-x", "part-100000-x"), order):
+            (tmp_path / name / part).write_text("\n".join(parts[k]) + "\n")
+    index = text.index_file(spark, f"file://{tmp_path}/good", 4, lon=2, lat=3)
+    assert index.agg(F.max("row_end")).first()[0] == 3000
+    assert text.order_breaks(spark, f"file://{tmp_path}/bad", lon=2, lat=3).first().breaks == 1
+    with pytest.raises(ValueError):
+        text.index_file(spark, f"file://{tmp_path}/bad", 4, lon=2, lat=3)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")  # several stretches of a file in a partition
+        assert text.order_breaks(spark, f"file://{tmp_path}/good", lon=2, lat=3).first().breaks == 0
+        assert text.order_breaks(spark, f"file://{tmp_path}/bad", lon=2, lat=3).first().breaks == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def _lines(spark, folder: str, n: int) -> str:
+    """A folder of lines id, lon, lat."""
+    spark.range(n).selectExpr("concat_ws(',', id, id * 104729 % 360, id * 7919 % 180 - 90) AS value").write.text(f"file://{folder}")
+    return f"file://{folder}"
+
+
 def test_files_are_whole_blocks(spark, tmp_path):
     sky.write_map(spark.range(12).selectExpr("id AS ipix", "id AS value"), f"file://{tmp_path}/m", 0)
     files = list((tmp_path / "m").iterdir())
