@@ -806,19 +806,50 @@ def test_positions(df: DataFrame, cover: DataFrame, depth: int) -> DataFrame:
     return out.withColumn("status", status).drop("cell_", *[f"_f{d}" for d in orders])
 
 
+#: Levels below the cells of the radius at which a cross match compares rows, rows of a side in one block of a cell, and pairs a task, about.
+MATCH_LEVELS, MATCH_SIDE, MATCH_PAIRS = 3, 2048, 1 << 23
+
+
 def cross_match(left: DataFrame, right: DataFrame, radius: float, depth: int | None = None) -> DataFrame:
-    """Pairs (left_id, right_id, distance) within radius degrees: right rows go to their cell and its neighbours, then an equi join.
+    """Pairs (left_id, right_id, distance) within radius degrees: right rows go to all small cells that they reach, then an equi join.
 
-    The cells must not be narrower than the radius: without depth the deepest such one is taken, a deeper one is refused.
+    Those cells are found from a row's cell of a depth and its neighbours, level by level, by circles around cells. The
+    cells of that depth must not be narrower than the radius: without depth the deepest such one is taken, a deeper one
+    is refused. Rows of a cell are dealt in blocks, and there are as many tasks as the pairs to compare ask for.
     """
     most = geometry.best_starting_depth(radius)
     if most is None:
         raise ValueError(f"a radius of {radius} degrees is wider than the cells of depth 0")
     if depth is not None and depth > most:
         raise ValueError(f"at depth {depth} cells are narrower than {radius} degrees; the deepest depth for it is {most}")
-    depth = most if depth is None else depth
-    l = with_hash(left.selectExpr("id AS left_id", "lon AS l_lon", "lat AS l_lat"), depth, "l_lon", "l_lat", "cell")
-    r = with_hash(right.selectExpr("id AS right_id", "lon AS r_lon", "lat AS r_lat"), depth, "r_lon", "r_lat", "ipix")
+    depth, fine = most if depth is None else depth, min(most + MATCH_LEVELS, cells.MAX_DEPTH)
+    l = with_hash(left.selectExpr("id AS left_id", "lon AS l_lon", "lat AS l_lat"), fine, "l_lon", "l_lat", "cell").where("cell IS NOT NULL")
+    # a row becomes some sixty, so few rows make a task; a small file comes as one partition
+    r = right.selectExpr("id AS right_id", "lon AS r_lon", "lat AS r_lat").repartition(max(1, math.ceil(right.count() / 16384)), "right_id", "r_lon", "r_lat")
+    r = with_hash(r, depth, "r_lon", "r_lat", "ipix").where("ipix IS NOT NULL")
     near = cells.apply(r, cells.neighbours(depth)).select("right_id", "r_lon", "r_lat", F.explode(F.array_distinct(F.array_compact(F.array("ipix", *[f"n_{d.lower()}" for d in cells.DIRECTIONS])))).alias("cell"))
-    both = l.join(near, "cell").withColumn("distance", F.expr(cells.doubles(haversine("l_lon", "l_lat", "r_lon", "r_lat"))))
+    for d in range(depth + 1, fine + 1):
+        near = near.select("right_id", "r_lon", "r_lat", F.explode(F.expr("sequence(4 * cell, 4 * cell + 3)")).alias("cell"))
+        reach = radius * (1 + 1e-9) + geometry.largest_radius(d)
+        near = cells.apply(near, cells.position(d, "cell", lon="c_lon", lat="c_lat"))
+        near = near.where(F.expr(cells.doubles(haversine("c_lon", "c_lat", "r_lon", "r_lat"))) <= reach).select("right_id", "r_lon", "r_lat", "cell")
+    l, near, n = _blocks(l, near)
+    both = l.repartition(n, "cell", "_a", "_b").join(near.repartition(n, "cell", "_a", "_b"), ["cell", "_a", "_b"])
+    both = both.withColumn("distance", F.expr(cells.doubles(haversine("l_lon", "l_lat", "r_lon", "r_lat"))))
     return both.where(F.col("distance") <= radius).select("left_id", "right_id", "distance")
+
+
+def _blocks(l: DataFrame, r: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Both sides with _a and _b, so that rows of a cell meet once in blocks of few rows of each side; and how many tasks these need."""
+    counts = l.groupBy("cell").agg(F.count("*").alias("_l")).join(r.groupBy("cell").agg(F.count("*").alias("_r")), "cell", "full")
+    counts = storage.held(counts.select("cell", F.coalesce("_l", F.lit(0)).alias("_l"), F.coalesce("_r", F.lit(0)).alias("_r")))
+    pairs, rows = counts.agg(F.sum(F.col("_l").cast("double") * F.col("_r")), F.sum(F.col("_l") + F.col("_r"))).first()
+    n = max(l.sparkSession.sparkContext.defaultParallelism, math.ceil((pairs or 0) / MATCH_PAIRS), math.ceil((rows or 0) / (MATCH_PAIRS >> 3)))
+    # of these there are few, as each has many rows
+    many = counts.where(F.greatest("_l", "_r") > MATCH_SIDE).select("cell", *[F.ceil(F.greatest(F.col(c), F.lit(1)) / MATCH_SIDE).cast("int").alias(f"{c}_k") for c in ("_l", "_r")])
+    out = []
+    for side, own, other, mine, theirs in ((l, "_l_k", "_r_k", "_a", "_b"), (r, "_r_k", "_l_k", "_b", "_a")):
+        block = F.pmod(F.xxhash64(*[c for c in side.columns if c != "cell"]), F.coalesce(own, F.lit(1))).cast("int")
+        dealt = side.join(F.broadcast(many), "cell", "left").withColumn(mine, block)
+        out.append(dealt.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))).drop("_l_k", "_r_k"))
+    return *out, n

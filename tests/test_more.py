@@ -70,6 +70,29 @@ def test_cross_match_checks_its_depth(spark):
         M.cross_match(one, two, 5.0, 6)
 
 
+def test_cross_match_finds_all_pairs_near_poles_and_borders(spark):
+    rng = np.random.default_rng(7)
+    points = [(float(x), float(y)) for x, y in zip(rng.uniform(0, 360, 300), rng.uniform(-90, 90, 300))]
+    points += [(0.0, 90.0), (10.0, -90.0), (359.999, 0.0), (0.0, 0.0), (45.0, 41.81), (45.0, 41.82), (90.0, 0.0), (180.0, 89.5), (1.0, 89.9), (44.9, -89.0)]
+    rows = [(k, *p) for k, p in enumerate(points)]
+    df = spark.createDataFrame(rows, "id long, lon double, lat double")
+    d = F.expr(C.doubles(M.haversine("a.lon", "a.lat", "b.lon", "b.lat")))
+    for radius, depth in ((3.0, 1), (45.0, 0)):
+        want = {tuple(r) for r in df.alias("a").crossJoin(df.alias("b")).where(d <= radius).select("a.id", "b.id").collect()}
+        got = [tuple(r) for r in M.cross_match(df, df, radius, depth).select("left_id", "right_id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_cross_match_deals_a_cell_to_several_tasks(spark, monkeypatch):
+    for name, value in (("MATCH_SIDE", 50), ("MATCH_PAIRS", 1 << 12)):
+        monkeypatch.setattr(M, name, value, raising=False)
+    one = spark.range(400).selectExpr("id", "10.0D + id * 1e-6D AS lon", "20.0D AS lat")
+    two = spark.range(150).selectExpr("id", "10.0D AS lon", "20.0D + id * 1e-6D AS lat")
+    out = M.cross_match(one, two, 1.0)
+    assert out.count() == out.select("left_id", "right_id").distinct().count() == 400 * 150
+    assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 400 * 150 // 2
+
+
 def test_columns_named_like_scratch_ones_stay(spark):
     df = spark.createDataFrame([(1.0, 2.0, "a", "b")], "lon double, lat double, _x string, _face string")
     out = M.with_hash(df, 5)
