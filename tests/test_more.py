@@ -86,8 +86,8 @@ def test_cross_match_finds_all_pairs_near_poles_and_borders(spark):
 def test_cross_match_deals_a_cell_to_several_tasks(spark, monkeypatch):
     for name, value in (("MATCH_SIDE", 50), ("MATCH_PAIRS", 1 << 12)):
         monkeypatch.setattr(M, name, value, raising=False)
-    one = spark.range(400).selectExpr("id", "10.0D + id * 1e-6D AS lon", "20.0D AS lat")
-    two = spark.range(150).selectExpr("id", "10.0D AS lon", "20.0D + id * 1e-6D AS lat")
+    one = spark.range(0, 400, 1, 1).selectExpr("id", "10.0D + id * 1e-6D AS lon", "20.0D AS lat")
+    two = spark.range(0, 150, 1, 1).selectExpr("id", "10.0D AS lon", "20.0D + id * 1e-6D AS lat")
     out = M.cross_match(one, two, 1.0)
     assert out.count() == out.select("left_id", "right_id").distinct().count() == 400 * 150
     assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 400 * 150 // 2
@@ -163,6 +163,27 @@ def test_files_are_whole_blocks(spark, tmp_path):
         raw.decode_raw(raw.encode_raw(np.arange(3, dtype="<u4"), []), lambda h: "<u8")
 
 
+def test_one_file_is_not_computed_in_one_task(spark, tmp_path):
+    """What is written to one file comes to one task, but not the rows that it is found in."""
+
+    def tasks(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([TaskContext.get().taskAttemptId()] * b.num_rows, pa.int64())], ["sample_no", "hash29"])
+
+    rows = spark.range(0, 1000, 1, 4).mapInArrow(tasks, "sample_no long, hash29 long")
+    for explicit in (True, False):
+        path = f"file://{tmp_path}/{explicit}"
+        raw.write_samples(rows, path, 10, explicit)
+        got = raw.read_samples(spark, path)
+        assert got.agg(F.sum("sample_no"), F.count("*"), F.countDistinct("hash29")).first()[:] == (499500, 1000, 4)
+        for k, none in enumerate(("false", "sample_no < 0")):
+            raw.write_samples(rows.where(none), f"{path}-{k}", 10, explicit)
+            assert raw.read_samples(spark, f"{path}-{k}").count() == 0 and len(list((tmp_path / f"{explicit}-{k}").glob("part-*"))) == 1
+
+
 def test_ellipses():
     e = G.ellipse_of_axes(3.0, 1.0, 30.0)
     assert G.axes_of_ellipse(*e) == pytest.approx((3.0, 1.0, 30.0))
